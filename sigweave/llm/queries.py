@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigweave.llm import pieces
+from sigweave.llm import chat, packing, pieces, quality, session
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,25 @@ def sha(column: str) -> F.Column:
     return F.sha2(F.col(column).cast("binary"), 256)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session.checkpoints(spark)
+    return packing.pack(packing.cut(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session.checkpoints(spark)
+    out = quality.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    out = chat.read_back(chat.format_records(chat.records(rows.unionByName(hard))))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["content"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), sha("loss_text").alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), sha("ids").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
@@ -39,6 +58,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op5_packing": op5_packing,
+        "op8_quality": op8_quality,
+        "op9_chat": op9_chat,
         "op10_sentencepiece": op10_sentencepiece,
     }
 

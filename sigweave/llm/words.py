@@ -152,3 +152,7 @@ def encoded(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
+
+
+def is_space(buf: np.ndarray) -> np.ndarray:
+    return _SPACE[buf]

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigweave.llm import chat, packing, pieces, quality, session
+from sigweave.llm import chat, packing, pieces, quality, session, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", sha("kept").alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.checkpoints(spark)
     out = quality.judge(table(spark, sf_dir, "documents"))
@@ -59,6 +64,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op5_packing": op5_packing,
+        "op7_substrings": op7_substrings,
         "op8_quality": op8_quality,
         "op9_chat": op9_chat,
         "op10_sentencepiece": op10_sentencepiece,

@@ -23,7 +23,7 @@ _LOWER[65:91] = _TABLE[97:123]
 _TABLE[_SPACE] = 0
 _LOWER[_SPACE] = 0
 _BASE = _U(0x9E3779B97F4A7C15)
-_POWERS = np.ones(64, np.uint64)
+_POWERS = np.ones(1, np.uint64)
 
 
 def mix(z: np.ndarray) -> np.ndarray:

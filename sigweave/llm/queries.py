@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigweave.llm import chat, packing, pieces, quality, session, substrings
+from sigweave.llm import chat, near, packing, pieces, quality, session, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,11 @@ def sha(column: str) -> F.Column:
     return F.sha2(F.col(column).cast("binary"), 256)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session.checkpoints(spark)
+    return near.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.checkpoints(spark)
     return packing.pack(packing.cut(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
@@ -63,6 +68,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_near_duplicates": op3_near_duplicates,
         "op5_packing": op5_packing,
         "op7_substrings": op7_substrings,
         "op8_quality": op8_quality,

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigweave.llm import chat, near, packing, pieces, quality, session, substrings
+from sigweave.llm import chat, fingerprints, near, packing, pieces, pii, quality, session, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,24 @@ def sha(column: str) -> F.Column:
     return F.sha2(F.col(column).cast("binary"), 256)
 
 
+#: The key of the queries' pseudonyms; an owner of data takes a secret one.
+KEY = "an example key, known to all"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(table(spark, sf_dir, "documents"), KEY)
+    return out.select("doc_id", "n_private", "text")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.edited(fingerprints.with_next(table(spark, sf_dir, "documents")))
+    f = fingerprints
+    return out.select(
+        "doc_id", "n_chars", sha("edited_text").alias("edited_sha256"), f.as_string(F.col("sketch")).alias("fingerprint"), f.as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
+        f.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), f.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.checkpoints(spark)
     return near.near_duplicates(table(spark, sf_dir, "documents"), k=4)
@@ -68,8 +86,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pii": op1_pii,
         "op3_near_duplicates": op3_near_duplicates,
         "op5_packing": op5_packing,
+        "op6_fingerprints": op6_fingerprints,
         "op7_substrings": op7_substrings,
         "op8_quality": op8_quality,
         "op9_chat": op9_chat,

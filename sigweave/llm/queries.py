@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigweave.llm import chat, fingerprints, near, packing, pieces, pii, quality, session, substrings
+from sigweave.llm import chat, fingerprints, lines, near, packing, pieces, pii, quality, session, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,11 +50,24 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", sha("text").alias("text_sha256"), "text")
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.checkpoints(spark)
     return near.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session.checkpoints(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.checkpoints(spark)
     return packing.pack(packing.cut(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
@@ -87,7 +100,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
+        "op2_line_dedup": op2_line_dedup,
         "op3_near_duplicates": op3_near_duplicates,
+        "op4_toxicity": op4_toxicity,
         "op5_packing": op5_packing,
         "op6_fingerprints": op6_fingerprints,
         "op7_substrings": op7_substrings,

@@ -10,10 +10,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (a, b); a component is named by its least node.
 
     Large-star and small-star steps in turn, until the edges are stars around least nodes;
-    the edges after each turn are written to the checkpoint folder. Loops and repeated
+    the edges before the first turn and after each are written to the checkpoint folder. Loops and repeated
     edges do no harm; no edges give no nodes.
     """
-    state, last = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
+    state, last = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint(), None
     while True:
         both = state.union(state.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))

@@ -16,6 +16,7 @@ empty table gives no pieces. Other columns are not carried.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,11 +28,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CAPACITY, PART, GROUP = 2048, 512, 4096
-CACHED = 400_000
+CACHED = 300_000
+
+
+#: Words of these characters alone are split as the tokenizer's own pattern splits them, without its normalizer's tables.
+_PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*").fullmatch
+_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+").findall
 
 
 class WordTokenizer:
-    """Ids of texts under a tokenizer that never joins text over a space, word by word through a bounded cache."""
+    """Ids of texts under a tokenizer that lower-cases, drops white space and marks word ends.
+
+    It never joins text over a space, nor over the bounds of its pattern's tokens, so that words, and the
+    tokens of new words, go through bounded caches. New tokens are encoded as one text; each
+    ends with an id that has the mark of a word's end, and no other id has it.
+    """
 
     def __init__(self, path: str):
         import os
@@ -40,22 +51,45 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Puts words into the cache."""
+        plain = [w for w in new if _PLAIN(w) and "<|" not in w]
+        split = [_TOKENS(w.lower()) for w in plain]
+        unknown = [t for t in set().union(*split) if t not in self.tokens]
+        for at in range(0, len(unknown), 2000):
+            some = unknown[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer doesn't end each token with a mark")
+            data, at_byte = ids.tobytes(), [0, *(ends * 4).tolist()]
+            self.tokens.update(zip(some, [data[i:j] for i, j in zip(at_byte, at_byte[1:], strict=False)], strict=True))
+        known = self.tokens.__getitem__
+        self.words.update((w, b"".join(map(known, ts))) for w, ts in zip(plain, split, strict=True))
+        other = [w for w in new if w not in self.words]
+        for at in range(0, len(other), 2000):
+            some = other[at : at + 2000]
+            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                self.words[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.split(" ") for t in texts]
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        new = [w for w in set().union(*split) if w not in self.cache]
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(self.cache.__getitem__, s)) for s in split]
-        for w in new:
-            if len(w) > 64:
-                del self.cache[w]
+        for cache in (self.words, self.tokens):
+            if len(cache) > CACHED:
+                cache.clear()
+        new = [w for w in set().union(*split) if w not in self.words]
+        self._learn(new)
+        out = [b"".join(map(self.words.__getitem__, s)) for s in split]
+        for cache in (self.words, self.tokens):
+            for w in [w for w in cache if len(w) > 64] if len(max(new, key=len, default="")) > 64 else []:
+                del cache[w]
         return out
 
 

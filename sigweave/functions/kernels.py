@@ -123,7 +123,7 @@ def digest(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
     kind = column.type
     if pa.types.is_integer(kind):
         flat = np.asarray(column.fill_null(0))
-        data = np.ascontiguousarray(flat.astype(flat.dtype.newbyteorder("<"))).view(np.uint8).reshape(len(flat), -1)
+        data = np.ascontiguousarray(flat.astype(flat.dtype.newbyteorder("<"))).view(np.uint8).reshape(len(flat), flat.dtype.itemsize)
         return digest_bytes(data, hasher), there
     if pa.types.is_floating(kind) or pa.types.is_temporal(kind) or pa.types.is_decimal(kind):
         raise TypeError(f"values of type {kind} can't be hashed")

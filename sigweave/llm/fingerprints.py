@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K, FRACTION_BITS = 5, 2
-#: Documents of a bucket in which neighbours are looked up, and quantiles that bound buckets.
-BUCKET, QUANTILES = 4000, 256
+#: Documents of a bucket in which neighbours are looked up, quantiles that bound buckets, and buckets (24 bytes each) up to which their table is broadcast.
+BUCKET, QUANTILES, BROADCAST = 1000, 256, 200_000
 _LEAST = -(1 << 63)
 
 
@@ -81,14 +81,20 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     else:
         bucket = F.lit(0).cast("long")
     rows = rows.withColumn("__bucket", bucket)
-    # One row a range: its highest id, and the range that needs a copy of that row.
-    tops = rows.groupBy("__bucket").agg(F.max("__ord").alias("top"))
-    above = F.lead("__bucket").over(Window.orderBy("__bucket"))
-    lowest = F.first("__bucket").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    tops = tops.select(F.col("__bucket").alias("from"), "top", F.coalesce(above, lowest).alias("to"))
+    # One row a range: its highest id, and the range that needs a copy of that row. The range after the last
+    # between two quantiles is the first after the next quantile, of which there are QUANTILES at most.
+    between = F.floor(F.col("__bucket") / steps)
+    tops = rows.groupBy("__bucket").agg(F.max("__ord").alias("top")).withColumn("__quantile", between)
+    first = tops.groupBy("__quantile").agg(F.min("__bucket").alias("first"))
+    turn = Window.orderBy("__quantile")
+    first = first.select(F.col("__quantile").alias("__q"), F.coalesce(F.lead("first").over(turn), F.first("first").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next"))
+    above = F.coalesce(F.lead("__bucket").over(Window.partitionBy("__quantile").orderBy("__bucket")), F.col("next"))
+    tops = tops.join(F.broadcast(first), F.col("__quantile") == F.col("__q")).select(F.col("__bucket").alias("from"), "top", above.alias("to"))
+    tops = F.broadcast(tops) if len(bounds) * steps <= BROADCAST else tops
     copies = rows.join(tops, (rows["__bucket"] == tops["from"]) & (rows["__ord"] == tops["top"])).groupBy("to", "top").agg(F.min("__text").alias("__text"))
     copies = copies.select(F.lit(None).cast(rows.schema["__id"].dataType).alias("__id"), "__text", F.col("top").alias("__ord"), F.col("to").alias("__bucket"), F.lit(True).alias("__copy"))
-    both = rows.withColumn("__copy", F.lit(False)).unionByName(copies).withColumn("sketch", sketch(F.col("__text")))
+    # Dealt out before the sketches are made, so that these don't go through the shuffle.
+    both = rows.withColumn("__copy", F.lit(False)).unionByName(copies).repartition("__bucket").withColumn("sketch", sketch(F.col("__text")))
     order = Window.partitionBy("__bucket").orderBy("__copy", F.desc("__ord"), "__text")
     out = both.withColumns({"next_text": F.lead("__text").over(order), "next_sketch": F.lead("sketch").over(order)}).where("not __copy")
     return out.select(F.col("__id").alias(id_col), F.col("__text").alias("text"), "sketch", "next_text", "next_sketch")

@@ -36,10 +36,33 @@ _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*").fullmatch
 _TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+").findall
 
 
+class _Recent:
+    """A bounded cache of two generations: what is asked for moves to the young one, and the old one goes when the young one is full."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, asked: set[str]) -> list[str]:
+        """What has to be put into `young`; afterwards that holds all that was asked for."""
+        if len(self.young) > CACHED:
+            self.young, self.old = {}, self.young
+        asked = asked.difference(self.young)
+        known = asked.intersection(self.old)
+        self.young.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        return list(asked - known)
+
+    def forget(self, long: list[str]) -> None:
+        """Drops those of some entries that are too long to keep."""
+        for w in long:
+            if len(w) > 64:
+                del self.young[w]
+
+
 class WordTokenizer:
     """Ids of texts under a tokenizer that lower-cases, drops white space and marks word ends.
 
-    It never joins text over a space, nor over the bounds of its pattern's tokens, so that words, and the
+    It never joins text over a space or line feed, nor over the bounds of its pattern's tokens, so that words, and the
     tokens of new words, go through bounded caches. New tokens are encoded as one text; each
     ends with an id that has the mark of a word's end, and no other id has it.
     """
@@ -54,42 +77,37 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.words, self.tokens = _Recent(), _Recent()
 
     def _learn(self, new: list[str]) -> None:
         """Puts words into the cache."""
         plain = [w for w in new if _PLAIN(w) and "<|" not in w]
         split = [_TOKENS(w.lower()) for w in plain]
-        unknown = [t for t in set().union(*split) if t not in self.tokens]
+        unknown = self.tokens.missing(set().union(*split))
+        tokens, words = self.tokens.young, self.words.young
         for at in range(0, len(unknown), 2000):
             some = unknown[at : at + 2000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            ends = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
             if len(ends) != len(some):
                 raise ValueError("the tokenizer doesn't end each token with a mark")
-            data, at_byte = ids.tobytes(), [0, *(ends * 4).tolist()]
-            self.tokens.update(zip(some, [data[i:j] for i, j in zip(at_byte, at_byte[1:], strict=False)], strict=True))
-        known = self.tokens.__getitem__
-        self.words.update((w, b"".join(map(known, ts))) for w, ts in zip(plain, split, strict=True))
-        other = [w for w in new if w not in self.words]
+            data = ids.tobytes()
+            tokens.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        words.update((w, tokens[ts[0]] if len(ts) == 1 else b"".join([tokens[t] for t in ts])) for w, ts in zip(plain, split, strict=True))
+        self.tokens.forget(unknown)
+        other = [w for w in new if w not in words]
         for at in range(0, len(other), 2000):
             some = other[at : at + 2000]
             for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
+                words[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split(" ") for t in texts]
-        for cache in (self.words, self.tokens):
-            if len(cache) > CACHED:
-                cache.clear()
-        new = [w for w in set().union(*split) if w not in self.words]
+        split = [(t.lower() if _PLAIN(t) and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
+        new = self.words.missing(set().union(*split))
         self._learn(new)
-        out = [b"".join(map(self.words.__getitem__, s)) for s in split]
-        for cache in (self.words, self.tokens):
-            for w in [w for w in cache if len(w) > 64] if len(max(new, key=len, default="")) > 64 else []:
-                del cache[w]
+        out = [b"".join(map(self.words.young.__getitem__, s)) for s in split]
+        self.words.forget(new)
         return out
 
 

@@ -29,8 +29,8 @@ def _raw(values: Column, spec: Spec) -> Column:
 
 
 def to_json(sketch: Column, spec: Spec) -> Column:
-    """{"words": [...]} with unsigned integers."""
-    return F.to_json(F.struct(_unsigned(sketch, spec).alias("words")))
+    """{"words": [...]} with unsigned integers; null of null."""
+    return F.when(sketch.isNotNull(), F.to_json(F.struct(_unsigned(sketch, spec).alias("words"))))
 
 
 def from_json(text: Column, spec: Spec) -> Column:
@@ -40,8 +40,8 @@ def from_json(text: Column, spec: Spec) -> Column:
 
 
 def array_to_json(counters: Column, spec: Spec) -> Column:
-    """{"counters": [{"words": [...]}, ...]}"""
-    return F.to_json(F.struct(F.transform(counters, lambda c: F.struct(_unsigned(c["words"], spec).alias("words"))).alias("counters")))
+    """{"counters": [{"words": [...]}, ...]}; null of null."""
+    return F.when(counters.isNotNull(), F.to_json(F.struct(F.transform(counters, lambda c: F.struct(_unsigned(c["words"], spec).alias("words"))).alias("counters"))))
 
 
 def array_from_json(text: Column, spec: Spec) -> Column:

@@ -1,10 +1,10 @@
 """Line dedup: documents that overlap are aligned in pairs, and the later one loses the common blocks.
 
 The lines of a text are its \\n-split parts; a line counts if it holds more than white space. For
-each line the first document with it (the least id) is known. A document is paired with
-an earlier one if that was first with a line of it that at most RARE documents have; or, as all
-lines of a large group of copies are frequent, with SHARED lines of it. So a document has
-no more partners than lines, and a frequent line by itself pairs nobody. A pair is aligned by patience diff: the lines
+each line, and for the shortest runs of MIN_CHARS characters from each line onward and from each line back,
+the first document with it (the least id) is known, however many have it. A document is paired with each
+earlier one that was first with SHARED (one) of its lines or with a run of it. So a document has at most three partners
+for each line, and each line of a block that any earlier document has is in such a block of a partner. A pair is aligned by patience diff: the lines
 that are unique in both and in the longest order common to both are anchors, and between anchors the
 search goes on within the gap; equal lines next to an anchor or at a gap's ends belong to its block.
 The later document loses the lines of all blocks that have MIN_CHARS characters or more.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RARE, SHARED, MIN_CHARS = 16, 3, 20
+SHARED, MIN_CHARS = 1, 20
 
 
 def _anchors(a: list[int], b: list[int], alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
@@ -100,19 +100,25 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(length, pa.int32())], names=["__key", "place", "length"])
 
 
+def _runs(full: F.Column, min_chars: int) -> F.Column:
+    """Hashes of the runs of two lines or more, one from each line on, that reach min_chars characters with their last line."""
+    add = lambda run, x: F.when(run["n"] >= min_chars, run).otherwise(F.struct(F.xxhash64(run["h"], x["h"]).alias("h"), (run["n"] + x["n"]).alias("n")))
+    run = lambda x, i: F.when(x["n"] < min_chars, F.aggregate(F.slice(full, i + 2, min_chars), x, add))
+    return F.transform(F.filter(F.transform(full, run), lambda x: x["n"] >= min_chars), lambda x: x["h"])
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the text's common blocks removed, n_lines (with words) and n_removed."""
     # Lines without words stay outside the alignment: their hash is null.
     split = F.split(F.col("__text"), "\n", -1)
-    hashed = F.transform(split, lambda x: F.when(F.length(F.trim(x, F.lit(" \t\r\x0b\x0c"))) > 0, F.xxhash64(x)))
+    hashed = F.transform(split, lambda x: F.when(F.length(F.trim(x, F.lit(" \t\r\x0b\x0c"))) > 0, F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))))
     rows = docs.withColumnsRenamed({id_col: "__id", text_col: "__text"}).withColumn("__key", F.xxhash64("__id", "__text"))
     order = F.struct(F.coalesce(F.col("__id").cast("long"), F.lit((1 << 63) - 1)).alias("o"), F.col("__key").alias("k"))
-    hashes = rows.where("__text is not null").select("__key", order.alias("order"), F.filter(hashed, lambda x: x.isNotNull()).alias("hashes"))
-    lines = hashes.select("order", F.explode(F.array_distinct("hashes")).alias("line"))
+    full = rows.where("__text is not null").select("__key", order.alias("order"), F.filter(hashed, lambda x: x.isNotNull()).alias("full"))
+    hashes = full.select("__key", "order", F.col("full.h").alias("hashes"), F.concat(_runs(F.col("full"), min_chars), _runs(F.reverse("full"), min_chars)).alias("runs"))
+    lines = hashes.select("order", F.explode(F.array_distinct(F.concat("hashes", "runs"))).alias("line"))
     firsts = lines.groupBy("line").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1")
-    met = lines.join(firsts, "line").where("order.k <> first.k").groupBy(F.col("order.k").alias("later"), F.col("first.k").alias("earlier")).agg(F.min("n").alias("rarest"), F.count("*").alias("shared"))
-    # A document listed twice counts twice among a line's documents, which makes its lines no rarer than they are.
-    pairs = met.where((F.col("rarest") <= RARE) | (F.col("shared") >= SHARED)).select("later", "earlier")
+    pairs = lines.join(firsts, "line").where("order.k <> first.k").select(F.col("order.k").alias("later"), F.col("first.k").alias("earlier")).distinct()
     sequences = hashes.select(F.col("__key").alias("k"), "hashes").dropDuplicates(["k"])
     with_later = pairs.join(sequences.withColumnsRenamed({"k": "later", "hashes": "b"}), "later")
     both = with_later.join(sequences.withColumnsRenamed({"k": "earlier", "hashes": "a"}), "earlier").select("later", "a", "b")

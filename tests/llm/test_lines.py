@@ -47,6 +47,36 @@ def test_random(spark):
     check(spark, rows)
 
 
+def whole(rows):
+    """Every document is aligned with the first holder of each of its lines, and of each run of neighbours, whatever their number."""
+    full = {i: [x for x in (t or "").split("\n") if x.strip(" \t\r\x0b\x0c")] for i, t in rows}
+    runs = {i: {tuple(x[a:b]) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if b == a + 1 or min(sum(map(len, x[a : b - 1])), sum(map(len, x[a + 1 : b]))) < lines.MIN_CHARS <= sum(map(len, x[a:b]))} for i, x in full.items()}
+    first = {}
+    for i in sorted(runs):
+        for r in runs[i]:
+            first.setdefault(r, i)
+    return {i: lines.without(t, [{"place": j, "length": n} for e in {first[r] for r in runs[i]} - {i} for j, n in lines.blocks(lines.patience(full[e], full[i]))], lines.MIN_CHARS) for i, t in rows}
+
+
+def test_frequent_passages(spark):
+    boiler = "a paragraph of the footer that all of them have"
+    rows = [(i, f"{boiler}\nown line of document {i}") for i in range(40)]
+    rows += [(100 + i, "copied line one of two\ncopied line two of two") for i in range(30)]
+    # The short last line of a copied block was first elsewhere, and the long one too.
+    rows += [(300, "tail\nown of 300"), (301, "a long enough line before it\nown of 301")] + [(310 + i, f"own {i} of the tail\na long enough line before it\ntail") for i in range(20)]
+    # Neither short line reaches MIN_CHARS; each was first in another document than their run.
+    rows += [(200, "first half 1\nown of 200"), (201, "second half\nown of 201")] + [(210 + i, f"own {i}\nfirst half 1\nsecond half\nmine {i}") for i in range(20)]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == whole(rows)
+    assert all(got[i][2] == 1 for i in range(1, 40)) and all(got[100 + i][2] == 2 for i in range(1, 30)) and all(got[210 + i][2] == 2 for i in range(1, 20)) and all(got[310 + i][2] == 2 for i in range(1, 20))
+
+
+def test_whole_documents(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got.collect()} == whole(rows)
+
+
 def test_documents(spark, sf):
     check(spark, [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()])
 

@@ -2,7 +2,8 @@
 
 A token with signs or digits for letters, with dots or dashes between them, or with
 stretched letters becomes a lattice: each place has the letters that it may stand for, each
-at a channel cost. So does a row of single characters, which may be a word spaced out. Viterbi
+at a channel cost. So does a row of three or more single characters, which may be words spaced out: each
+place may also begin a word. Both the restored and the written reading count. Digits alone are a number. Viterbi
 search under a character trigram model picks the likeliest reading. The model counts the trigrams of all
 texts; there are as many sums as trigrams of the 64 classes of characters, at any input size.
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 SAMPLE, FEATURES, CACHED = 8000, 600, 400_000
 CLASSES = 64  # of characters: 0 for none, 26 and 32 for letters, 63 for other letters
 THRESHOLD = 0.7
+_ALONE = math.log(0.05)  # a letter is a word of its own if so many of the words that it begins end after it
 
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
@@ -38,9 +40,10 @@ _CLASS[0xDF:0x100] = np.arange(27, 27 + 33)
 _CLASS[0xF7] = 0
 _OTHER = 63
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i", "¥": "y", "ß": "ß"}
-_PLAIN = re.compile(r"[^\w]*([^\W\d_]+)[^\w$@!|+€*]*").fullmatch
+_SIGN = re.escape("".join(c for c in SIGNS if not c.isalnum()))
+_PLAIN = re.compile(rf"[^\w{_SIGN}]*([^\W\d_]+)[^\w{_SIGN}*]*").fullmatch
 _STRETCHED = re.compile(r"(\w)\1\1").search
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTER = re.compile(rf"[^\W\d_]|[{_SIGN}]").search  # or a sign for one
 _WORD = re.compile(r"[^\W\d_]+").findall
 
 
@@ -90,7 +93,9 @@ class Decoder:
         """For each place the strings that it may stand for, with their channel costs."""
         out: list[list[tuple[str, float]]] = []
         runs = [(m.group(1), len(m.group())) for m in re.finditer(r"(.)\1*", token.lower(), re.S)]
-        last = max((i for i, (c, _) in enumerate(runs) if c.isalpha()), default=-1)
+        last = max((i for i, (c, _) in enumerate(runs) if c.isalpha()), default=None)
+        if last is None:  # signs for all letters: what ends a sentence may be left out, no others
+            last = max((i for i, (c, _) in enumerate(runs) if c in SIGNS and c != "!"), default=-1)
         for i, (c, n) in enumerate(runs):
             if c.isalpha():
                 one = [(c, 0.0)] if n == 1 else [(c, -0.3 if n > 2 else -6.0), (c * 2, 0.0 if n == 2 else -1.2)]
@@ -104,11 +109,13 @@ class Decoder:
             out.append(one)
         return out
 
-    def decode(self, token: str) -> str:
-        """The likeliest reading, by Viterbi search over states of two characters."""
+    def decode(self, token: str, breaks: bool = False) -> str:
+        """The likeliest reading, by Viterbi search over states of two characters; with breaks, a blank may precede each place."""
         model = self.model
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in self.lattice(token):
+        for at, options in enumerate(self.lattice(token)):
+            if breaks and at:
+                options = [*options, *((" " + text, cost) for text, cost in options if text)]
             new: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, said) in best.items():
                 for text, cost in options:
@@ -116,7 +123,7 @@ class Decoder:
                     for c in text:
                         k = code(c)
                         s += float(model[x, y, k])
-                        x, y = y, k
+                        x, y = (y, k) if c != " " else (0, 0)
                     if (x, y) not in new or new[x, y][0] < s:
                         new[x, y] = s, said + text
             best = new
@@ -130,17 +137,25 @@ class Decoder:
             return []
         said = self.decode(token)
         plain = _WORD(token.lower())
-        return [said] if plain == [said] else [said, *plain]
+        return [said] if plain == [said] else [x for x in (said, *plain) if x]
+
+    def row(self, letters: str) -> list[str]:
+        """The words of a row of single characters: as one word, without words of one letter at its ends, and cut where words are likeliest to begin."""
+        whole = self.words(letters)
+        ends = [len(letters) > 3 and self.model[0, code(c.lower()), 0] > _ALONE for c in (letters[0], letters[-1])]
+        inner = {letters[i : len(letters) - j] for i in range(1 + ends[0]) for j in range(1 + ends[1])} - {letters}
+        cut = self.decode(letters, True).split() if whole else []
+        return list(dict.fromkeys([*whole, *(w for x in sorted(inner) for w in self.words(x)), *cut]))
 
 
 def spaced(tokens: list[str]) -> list[str]:
-    """Rows of four or more single characters, joined."""
+    """Rows of three or more single characters, joined."""
     out, row = [], []
     for t in [*tokens, "  "]:
         if len(t) == 1:
             row.append(t)
         else:
-            if len(row) > 3:
+            if len(row) > 2:
                 out.append("".join(row))
             row = []
     return out
@@ -157,8 +172,8 @@ class _Hits(dict):
     def __init__(self, decoder: Decoder, known: dict[str, int] | None):
         self.decoder, self.known = decoder, known
 
-    def of(self, token: str) -> list:
-        found = [f for w in self.decoder.words(token) for f in features(w)]
+    def of(self, token: str, row: bool = False) -> list:
+        found = [f for w in (self.decoder.row(token) if row else self.decoder.words(token)) for f in features(w)]
         return found if self.known is None else [self.known[f] for f in found if f in self.known]
 
     def __missing__(self, token: str):
@@ -174,9 +189,9 @@ def shown(text: str, hits: _Hits) -> list:
     """All features of a text, with repetitions."""
     tokens = text.split()
     found = [f for x in map(hits.__getitem__, tokens) if x for f in x]
-    if found.count(None) > 3:
+    if found.count(None) > 2:
         for t in spaced(tokens):
-            found += hits.of(t)
+            found += hits.of(t, True)
     if len(hits) > CACHED:
         hits.clear()
     return [f for f in found if f is not None]

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -52,6 +53,31 @@ def test_disguises(spark, sf):
     assert toxicity.spaced("you i d i o t now a b".split()) == ["idiot"]
 
 
+def test_disguised_first_letters(spark, sf):
+    d = decoder(spark, sf)
+    for token, word in {"!diot": "idiot", "(lown": "clown", "|diot,": "idiot", "$tupid": "stupid", "+rash!": "trash", "|oser": "loser", "\"!d!ot!\"": "idiot"}.items():
+        assert word in d.words(token), (token, d.words(token))
+    assert "word" in d.words("(word") and d.words("...") == [] and d.words("\"Plain\"") == ["plain"] and "" not in d.words("!!!")
+
+
+def test_signs_for_all_letters():
+    counts = Counter()
+    for a, b, c in zip("\0\0ass\0", "\0ass\0", "ass\0"):
+        n = [0 if x == "\0" else toxicity.code(x) for x in (a, b, c)]
+        counts[(n[0] * toxicity.CLASSES + n[1]) * toxicity.CLASSES + n[2]] += 1000
+    d = toxicity.Decoder(toxicity.language_model(counts))
+    assert d.words("@$$") == d.words("@$$!!") == d.words("@55") == ["ass"] and d.words("455") == []
+
+
+def test_spaced_rows(spark, sf):
+    d = decoder(spark, sf)
+    assert toxicity.spaced("a f o o l and x y z or p q".split()) == ["afool", "xyz"]
+    for row, word in {"aclown": "clown", "idiot": "idiot", "aidiot": "idiot", "!d!ot": "idiot"}.items():
+        assert word in d.row(row), (row, d.row(row))
+    hits = toxicity._Hits(d, None)
+    assert "clown" in toxicity.shown("you are a c l o w n today", hits) and "mad" in toxicity.shown("so m a d", hits)
+
+
 def test_held_out(spark):
     session.checkpoints(spark)
     sf = "/root/testdata/sf0.01"

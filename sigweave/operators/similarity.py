@@ -35,7 +35,9 @@ def candidate_pairs(df: DataFrame, id_col: str, spec: Spec, bands: int, sketch:
 def similarity_join(df: DataFrame, id_col: str, spec: Spec, bands: int, threshold: float, sketch: str = "words") -> DataFrame:
     """(left_id, right_id, matches, jaccard): the candidate pairs whose estimate is at least the threshold."""
     words = _representatives(df, id_col, sketch, spec)
-    pairs = candidate_pairs(df, id_col, spec, bands, sketch)
+    # Registers that differ lie in no more bands than they are; the others agree.
+    least = bands - sum(1 for n in range(1, spec.permutations + 1) if (spec.permutations - n) / spec.permutations >= threshold)
+    pairs = candidate_pairs(df, id_col, spec, bands, sketch).where(F.col("matches") >= least)
     both = pairs.join(words.toDF("a", "left_id"), "left_id").join(words.toDF("b", "right_id"), "right_id")
     return both.withColumn("jaccard", jaccard(F.col("a"), F.col("b"))).where(F.col("jaccard") >= threshold).select("left_id", "right_id", "matches", "jaccard")
 

@@ -16,7 +16,6 @@ empty table gives no pieces. Other columns are not carried.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,88 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CAPACITY, PART, GROUP = 2048, 512, 4096
-CACHED = 300_000
-
-
-#: Words of these characters alone are split as the tokenizer's own pattern splits them, without its normalizer's tables.
-_PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*").fullmatch
-_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+").findall
-
-
-class _Recent:
-    """A bounded cache of two generations: what is asked for moves to the young one, and the old one goes when the young one is full."""
-
-    def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def missing(self, asked: set[str]) -> list[str]:
-        """What has to be put into `young`; afterwards that holds all that was asked for."""
-        if len(self.young) > CACHED:
-            self.young, self.old = {}, self.young
-        asked = asked.difference(self.young)
-        known = asked.intersection(self.old)
-        self.young.update(zip(known, map(self.old.__getitem__, known), strict=True))
-        return list(asked - known)
+from sigweave.llm import wordpieces, words
 
-    def forget(self, long: list[str]) -> None:
-        """Drops those of some entries that are too long to keep."""
-        for w in long:
-            if len(w) > 64:
-                del self.young[w]
-
-
-class WordTokenizer:
-    """Ids of texts under a tokenizer that lower-cases, drops white space and marks word ends.
-
-    It never joins text over a space or line feed, nor over the bounds of its pattern's tokens, so that words, and the
-    tokens of new words, go through bounded caches. New tokens are encoded as one text; each
-    ends with an id that has the mark of a word's end, and no other id has it.
-    """
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words, self.tokens = _Recent(), _Recent()
-
-    def _learn(self, new: list[str]) -> None:
-        """Puts words into the cache."""
-        plain = [w for w in new if _PLAIN(w) and "<|" not in w]
-        split = [_TOKENS(w.lower()) for w in plain]
-        unknown = self.tokens.missing(set().union(*split))
-        tokens, words = self.tokens.young, self.words.young
-        for at in range(0, len(unknown), 2000):
-            some = unknown[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
-            if len(ends) != len(some):
-                raise ValueError("the tokenizer doesn't end each token with a mark")
-            data = ids.tobytes()
-            tokens.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        words.update((w, tokens[ts[0]] if len(ts) == 1 else b"".join([tokens[t] for t in ts])) for w, ts in zip(plain, split, strict=True))
-        self.tokens.forget(unknown)
-        other = [w for w in new if w not in words]
-        for at in range(0, len(other), 2000):
-            some = other[at : at + 2000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                words[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [(t.lower() if _PLAIN(t) and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
-        new = self.words.missing(set().union(*split))
-        self._learn(new)
-        out = [b"".join(map(self.words.young.__getitem__, s)) for s in split]
-        self.words.forget(new)
-        return out
+CAPACITY, PART, GROUP = 2048, 512, 4096
+BLOCK = 1 << 23  # bytes of text that are tokenized at a time
 
 
 def cuts(n: int, capacity: int = CAPACITY, part: int = PART) -> list[tuple[int, int]]:
@@ -122,17 +43,14 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = C
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens"))])
     if keep_ids:
         schema.add("ids", T.BinaryType())
-    held: list[WordTokenizer] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(WordTokenizer(tokenizer_path))
-        end = np.array([end_id], "<u4").tobytes()
+        tokenizer, end = wordpieces.load(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                some = b.slice(at, 500)
+            texts = b.column(1).fill_null("")
+            for first, last in words.slices(words.span_of(texts)[1], BLOCK):
                 row, rest, ids = [], [], []
-                for i, got in enumerate(held[0].encode([t or "" for t in some.column(1).to_pylist()])):
+                for i, got in enumerate(tokenizer.encode(texts.slice(first, last - first)).to_pylist(), first):
                     got += end
                     n = len(got) // 4
                     for start, length in cuts(n, capacity, part):
@@ -141,7 +59,7 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = C
                         rest.append((start, length, zlib.crc32(piece), n))
                         if keep_ids:
                             ids.append(piece)
-                columns = [some.column(0).take(pa.array(row, pa.int32())), *(pa.array(c) for c in np.array(rest, np.int64).reshape(-1, 4).T)]
+                columns = [b.column(0).take(pa.array(row, pa.int32())), *(pa.array(c) for c in np.array(rest, np.int64).reshape(-1, 4).T)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * keep_ids, schema.fieldNames())
 
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, schema)

@@ -156,3 +156,76 @@ def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.List
 
 def is_space(buf: np.ndarray) -> np.ndarray:
     return _SPACE[buf]
+
+
+def span_of(column: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+    """The UTF-8 of a string column without nulls, and n+1 offsets of its rows in it."""
+    column = column.cast(pa.large_string())
+    if len(column) == 0:
+        return pa.py_buffer(b""), np.zeros(1, np.int64)
+    _, at, data = column.buffers()
+    return data or pa.py_buffer(b""), np.frombuffer(at, np.int64, len(column) + 1, column.offset * 8)
+
+
+def units(data: pa.Buffer, starts: np.ndarray, end: int) -> tuple[list[str], np.ndarray]:
+    """The distinct units of text that begin at `starts` and go on to the next or to `end`, and the number of each unit among them. Units are compared whole."""
+    at = np.append(starts, end).astype(np.int64)
+    found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), data).dictionary_encode()
+    return found.dictionary.to_pylist(), np.asarray(found.indices)
+
+
+def put_together(pieces: list[bytes] | pa.Array, which: np.ndarray, offsets: np.ndarray) -> pa.LargeBinaryArray:
+    """For each row i the pieces numbered which[offsets[i] : offsets[i + 1]], one after the other."""
+    flat = pa.array(pieces, pa.large_binary()).take(pa.array(which)) if isinstance(pieces, list) else pieces.take(pa.array(which))
+    _, ends, data = flat.buffers()
+    ends = np.frombuffer(ends, np.int64, len(flat) + 1) if len(flat) else np.zeros(1, np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends[offsets])), data or pa.py_buffer(b"")])
+
+
+def slices(offsets: np.ndarray, size: int = 4 * BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `size` bytes each; a longer row stands alone."""
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
+        yield first, last
+        first = last
+
+
+class Recent:
+    """A bounded cache of two generations: what is asked for moves to the young one, and the old one goes when the young one is full."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, asked: list[str]) -> list[str]:
+        """What has to be put into `young`; afterwards that holds all that was asked for."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        new = set(asked).difference(self.young)
+        known = new.intersection(self.old)
+        self.young.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        return list(new - known)
+
+    def forget(self, new: list[str]) -> None:
+        """Drops those of some entries that are too long to keep."""
+        for w in new:
+            if len(w) > 64:
+                del self.young[w]
+
+
+def bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and one past the last byte of each word of a buffer."""
+    space = _SPACE[buf]
+    edge = np.ones(len(buf) + 1, bool)
+    if len(buf):
+        edge[0], edge[-1] = not space[0], not space[-1]
+        np.not_equal(space[1:], space[:-1], out=edge[1:-1])
+    at = np.flatnonzero(edge)
+    return at[0::2], at[1::2]
+
+
+def cut(data: bytes, starts: np.ndarray, ends: np.ndarray) -> pa.StringArray:
+    """Pieces data[start:end], which may overlap, as a column."""
+    return pa.array([data[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()).cast(pa.string())

@@ -6,8 +6,8 @@ two again; a sequence whose neighbours all fit is the one that the merges give.
 fits, the position is set in a bitfield of failed positions and the last piece gives way to a
 shorter one. Each position fails once at most, so the time is linear in the text.
 
-No piece of a BPE model goes over a word's start, so that words are encoded one by one and
-a bounded cache serves those met before.
+No piece of a BPE model goes over a word's start, so that a block's distinct words are encoded one by one and
+a bounded cache serves those met before. Texts are decoded from their ids, by a table of what each id stands for.
 
 Null text is as empty; empty text gives the begin and end ids only and decodes to empty
 text. Other columns, duplicates and null ids pass through.
@@ -17,34 +17,22 @@ from __future__ import annotations
 
 import functools
 import heapq
-import re
 import struct
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from sigweave.llm import words
+
 SPACE = "▁"
 CACHED = 400_000
 
 
-class _Words(dict):
-    """Ids of the words met so far. The ids of each decode to the word itself, which byte fallback ensures and this proves."""
-
-    def __init__(self, model: PieceModel):
-        self.model = model
-
-    def __missing__(self, w: str) -> bytes:
-        ids, text = self.model.word(w)
-        if text != w.replace(SPACE, " ").encode():
-            raise ValueError(f"{w!r} decodes to {text!r}")
-        if len(w) <= 64:
-            self[w] = ids
-        return ids
-
-
 class PieceModel:
     """A BPE model with byte fallback and the identity normalizer."""
 
@@ -76,7 +64,7 @@ class PieceModel:
                 raise ValueError(f"piece of kind {p.type}")
         if any(SPACE in p.strip(SPACE) or p.endswith(SPACE) and p.strip(SPACE) for p in self.id):
             raise ValueError("a piece goes over a word's start")
-        self._words = _Words(self)
+        self.units = words.Recent(CACHED)
         self._fits: dict[tuple[str, str], bool] = {}
         # A piece's rank is the turn at which merging makes it; its halves are what it is made of.
         self.rank = {p: r for r, p in enumerate(sorted(self.score, key=lambda p: -self.score[p]))}
@@ -90,9 +78,16 @@ class PieceModel:
                     self.automaton.add_word(p, len(p))
                     break
         self.automaton.make_automaton()
+        self.longest = ahocorasick.Automaton()
+        for p in self.score:
+            if len(p) == 1 or p in self.halves:
+                self.longest.add_word(p, p)
+        self.longest.make_automaton()
         # A line feed that no longer piece holds stands alone, so that words also end there.
-        lone = "" if any("\n" in p for p in self.halves) else "\n"
-        self._parts = re.compile(f"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+|{lone}" if lone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        self.lone_line_feed = not any("\n" in p for p in self.halves)
+        # What each id decodes to, and after these what it decodes to as a text's first, where a space goes.
+        first = [t if i in self._byte_ids else t.removeprefix(b" ") for i, t in enumerate(self.text)]
+        self.table = pa.array(self.text + first, pa.large_binary())
 
     def _turn(self, p: str) -> int:
         """When merging makes a piece; characters are there from the start."""
@@ -157,6 +152,15 @@ class PieceModel:
         return found
 
     def split(self, s: str) -> list[str]:
+        """The pieces of a word. Mostly they are the longest matches, one after the other; where these don't fit, others are tried."""
+        taken = [p for _, p in self.longest.iter_long(s)]
+        known = self._fits.get
+        for pair in zip(taken, taken[1:]):
+            if not (known(pair) or self.fits(*pair)):
+                return self.tried(s)
+        return taken if sum(map(len, taken)) == len(s) else self.tried(s)
+
+    def tried(self, s: str) -> list[str]:
         """The pieces of a word; a place is set in `failed` if no pieces lead on from it to the end."""
         found, failed = self.matches(s), bytearray(len(s) // 8 + 1)
         taken: list[tuple[int, int]] = []  # where a piece starts, and which of the matches there it is
@@ -179,26 +183,59 @@ class PieceModel:
         ends = [i for i, _ in taken[1:]] + [at]
         return [s[i:j] for (i, _), j in zip(taken, ends, strict=True)]
 
-    def word(self, w: str) -> tuple[bytes, bytes]:
-        """Ids of a word as little-endian 32-bit integers, and the text that they decode to."""
-        ids: list[int] = []
-        for p in self.split(w):
-            if (i := self.id.get(p)) is not None:
-                ids.append(i)
-            else:
-                ids += [self.byte[b] for b in p.encode()]
-        return struct.pack(f"<{len(ids)}I", *ids), b"".join([self.text[i] for i in ids])
+    def word(self, w: str) -> bytes:
+        """Ids of a word as little-endian 32-bit integers; blanks may stand for word marks."""
+        found = self.split(w.replace(" ", SPACE))
+        try:
+            ids = [self.id[p] for p in found]
+        except KeyError:
+            ids = []
+            for p in found:
+                if (i := self.id.get(p)) is not None:
+                    ids.append(i)
+                else:
+                    ids += [self.byte[b] for b in p.encode()]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_column(self, texts: pa.Array) -> pa.LargeBinaryArray:
+        """Ids with begin and end of each text of a column without nulls, as little-endian 32-bit integers."""
+        texts = pc.replace_substring(texts.cast(pa.large_string()), SPACE, " ")
+        data, at = words.span_of(pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))))
+        first, end = int(at[0]), int(at[-1])
+        raw, at = np.frombuffer(data, np.uint8, end - first, first), at - first
+        space = raw == 0x20
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[1:-1] = space[1:] & ~space[:-1]
+        if self.lone_line_feed:
+            feed = np.flatnonzero(raw == 10)
+            begins[feed] = begins[feed + 1] = True
+        begins[at] = True
+        starts = np.flatnonzero(begins[:-1])
+        found, which = words.units(data, starts + first, end)
+        new = self.units.missing(found)
+        self.units.young.update(zip(new, map(self.word, new), strict=True))
+        held = [*map(self.units.young.__getitem__, found), struct.pack("<I", self.bos), struct.pack("<I", self.eos)]
+        self.units.forget(new)
+        rows, n = np.searchsorted(starts, at), len(texts)
+        ends = rows + 2 * np.arange(n + 1)
+        all_ = np.full(len(which) + 2 * n, len(found), np.int64)  # begin ids but for what follows
+        all_[ends[1:] - 1] = len(found) + 1
+        all_[np.arange(len(which)) + 2 * np.searchsorted(rows, np.arange(len(which)), "right") - 1] = which
+        return words.put_together(held, all_, ends)
+
+    def decode_column(self, ids: pa.LargeBinaryArray) -> pa.LargeStringArray:
+        """The text of each row of ids of encode_column."""
+        _, at, data = ids.buffers()
+        at = np.frombuffer(at, np.int64, len(ids) + 1) // 4 if len(ids) else np.zeros(1, np.int64)
+        flat = np.frombuffer(data, "<u4", int(at[-1])).astype(np.int64)
+        second = at[:-1] + 1  # behind the begin id
+        flat[second] += len(self.text)
+        return words.put_together(self.table, flat, at).cast(pa.large_string())
 
     def encode_decode(self, text: str) -> tuple[bytes, bytes]:
         """Ids with begin and end, as little-endian 32-bit integers, and the text that they decode to."""
-        begin, end = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
-        if not text:
-            return begin + end, b""
-        words = self._parts(SPACE + text.replace(" ", SPACE))
-        ids = b"".join([begin, *map(self._words.__getitem__, words), end])
-        if len(self._words) > CACHED:
-            self._words.clear()
-        return ids, "".join(words).replace(SPACE, " ")[1:].encode()
+        ids = self.encode_column(pa.array([text], pa.large_string()))
+        return ids[0].as_py(), self.decode_column(ids)[0].as_py().encode()
 
     def decode(self, ids: list[int]) -> str:
         """Text of any ids: the first space goes, control ids give nothing, broken bytes U+FFFD each."""
@@ -228,9 +265,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                got = [model.encode_decode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary()).cast(pa.string())], names=[id_col, "ids", "decoded"])
+            texts = b.column(1).fill_null("")
+            for first, last in words.slices(words.span_of(texts)[1]):
+                ids = model.encode_column(texts.slice(first, last - first))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), ids.cast(pa.binary()), model.decode_column(ids).cast(pa.string())], names=[id_col, "ids", "decoded"])
 
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, schema)

@@ -1,10 +1,25 @@
-"""Connected components of a graph given as an edge table."""
+"""Joins that leave no key to one task, and connected components of a graph given as an edge table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Keys of more than 1 / HOT of all rows are HOT at most, whatever the size.
+HOT, FEW = 1000, 64
+
+
+def meet(rows: DataFrame, one: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with `one`, which has a row for each key; its column `count` says how many of the `total` rows have it.
+
+    The keys with more than total / HOT rows, HOT at most, are broadcast, so that their rows stay where they are; the
+    others are met by shuffle. Keys that `one` lacks are left out.
+    """
+    limit = max(FEW, total // HOT)
+    hot, cold = one.where(F.col(count) > limit), one.where(F.col(count) <= limit)
+    at_once = rows.join(F.broadcast(hot), key)
+    return at_once.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (a, b); a component is named by its least node.

@@ -3,9 +3,13 @@
 import random
 import re
 
-from sigweave.llm import substrings
+import numpy as np
+import pyarrow as pa
+import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, place int, node string, `__key` bigint"
+from sigweave.llm import graph, session, substrings
+
+SCHEMA = "doc_id bigint, text string, lang string, place int, k string, `__key` bigint"
 
 
 def brute(rows, window=20):
@@ -24,12 +28,17 @@ def brute(rows, window=20):
 
 
 def check(spark, rows, parts=3):
+    session.checkpoints(spark)
     frame = spark.createDataFrame([(i, t, "en", 1, "n", 5) for i, t in rows], SCHEMA).repartition(parts)
     got = {r.doc_id: tuple(r)[1:] for r in substrings.remove_repeats(frame).collect()}
     assert got == brute(rows)
 
 
-def test_random(spark):
+@pytest.mark.parametrize("group", [1, 12, 4096])
+def test_random(spark, group, monkeypatch):
+    monkeypatch.setattr(substrings, "GROUP", group)
+    monkeypatch.setattr(substrings, "CHUNK", 7 * group)
+    monkeypatch.setattr(graph, "FEW", group)
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(400)]
     passages = [[rng.choice(vocabulary) for _ in range(rng.randint(15, 90))] for _ in range(8)]
@@ -50,8 +59,29 @@ def test_documents(spark, sf):
 
 
 def test_repeated_rows_and_null_ids(spark):
+    session.checkpoints(spark)
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(7, text), (7, text), (None, text), (9, "short"), (9, None)]
     got = sorted(map(tuple, substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(7, 30, 0, text), (7, 30, 0, text), (None, 30, 30, ""), (9, 1, 0, "short"), (9, 0, 0, "")], key=str)
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_common_prefix(spark, monkeypatch):
+    """One passage in very many documents, and texts that part after 8, 19, 20 and 21 words."""
+    monkeypatch.setattr(substrings, "GROUP", 10)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([f"own{i}", *base, f"end{i}"])) for i in range(60)]
+    rows += [(100 + n, " ".join([*base[:n], *(f"x{n}_{j}" for j in range(40))])) for n in (8, 19, 20, 21)]
+    check(spark, rows)
+
+
+def test_nodes():
+    """Windows are told apart by their words: equal words, and no others, have one node, in the order of their words."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("ab") for _ in range(20 + rng.randint(0, 14))) for _ in range(200)] + ["a " * 33 + "a"]
+    n = np.array([len(t.split()) - 19 for t in texts])
+    node, row, turn = substrings._nodes(pa.array(texts), n)
+    windows = [tuple(texts[r].split()[t : t + 20]) for r, t in zip(row, turn, strict=True)]
+    by = {w: c for w, c in zip(windows, node, strict=True)}
+    assert all(by[w] == c for w, c in zip(windows, node, strict=True)) and len(set(by.values())) == len(by)

@@ -3,19 +3,22 @@
 The lines of a text are its \\n-split parts; a line counts if it holds more than white space. For
 each line, and for the shortest runs of MIN_CHARS characters from each line onward and from each line back,
 the first document with it (the least id) is known, however many have it. A document is paired with each
-earlier one that was first with SHARED (one) of its lines or with a run of it. So a document has at most three partners
+earlier one that was first with one of its lines or with a run of it. So a document has at most three partners
 for each line, and each line of a block that any earlier document has is in such a block of a partner. A pair is aligned by patience diff: the lines
 that are unique in both and in the longest order common to both are anchors, and between anchors the
 search goes on within the gap; equal lines next to an anchor or at a gap's ends belong to its block.
 The later document loses the lines of all blocks that have MIN_CHARS characters or more.
 
-What is compared is the input, not what other pairs have left. Alignment takes the two documents'
+Documents meet by one 64-bit hash of a line or run and are aligned by another, so that two lines that differ are taken for one
+only if both are equal. What is compared is the input, not what other pairs have left. Alignment takes the two documents'
 line hashes, a bounded table for each pair; it goes pair by pair, so that a document with many partners is
-not held with all of them.
+not held with all of them. A line that very many documents have goes by broadcast, and the first holder's partners are spread over cells,
+so that neither is left to one task.
 
 Null text stays null; empty text, and lines without words, stay as they are. A null id comes
 after all others. Rows equal in id and text are one document listed more than once; rows equal
-in id only are ordered by a hash of their texts. An empty table gives an empty result. All other columns are kept.
+in id only are ordered by a hash of their texts. An empty table gives an empty result. All other columns are kept, whatever
+their names, but for n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,8 +30,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SHARED, MIN_CHARS = 1, 20
+from sigweave.llm import graph
+
+MIN_CHARS = 20
+_KEY = "struct<k1: bigint, k2: bigint>"
 
 
 def _anchors(a: list[int], b: list[int], alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
@@ -87,17 +94,17 @@ def blocks(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks that each later document of a pair shares with the earlier."""
+    """The blocks that each later document (key, lines) of a pair shares with the lines of the earlier."""
     for b in batches:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
-            key, place, length = [], [], []
-            for k, earlier, later in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            row, place, length = [], [], []
+            for k, (earlier, later) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
                 for j, n in blocks(patience(earlier, later)):
-                    key.append(k)
+                    row.append(k)
                     place.append(j)
                     length.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(length, pa.int32())], names=["__key", "place", "length"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int32())), pa.array(place, pa.int32()), pa.array(length, pa.int32())], names=["k", "place", "length"])
 
 
 def _runs(full: F.Column, min_chars: int) -> F.Column:
@@ -108,37 +115,44 @@ def _runs(full: F.Column, min_chars: int) -> F.Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the text's common blocks removed, n_lines (with words) and n_removed."""
+    """docs with the text's common blocks removed, n_lines (with words) and n_removed.
+
+    The repeated lines with their first holders, and the pairs, are written to the checkpoint folder, as their numbers decide how they are dealt out.
+    """
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    own = [f"c{i}" for i in range(len(kept))]
+    place = kept.index(text_col)
+    key = F.struct(F.xxhash64(docs[id_col], docs[text_col]).alias("k1"), F.xxhash64(F.lit(1), docs[id_col], docs[text_col]).alias("k2"))
+    rows = docs.select(key.alias("k"), *(docs[c].alias(o) for c, o in zip(kept, own, strict=True)), F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1)).alias("o"))
     # Lines without words stay outside the alignment: their hash is null.
-    split = F.split(F.col("__text"), "\n", -1)
-    hashed = F.transform(split, lambda x: F.when(F.length(F.trim(x, F.lit(" \t\r\x0b\x0c"))) > 0, F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))))
-    rows = docs.withColumnsRenamed({id_col: "__id", text_col: "__text"}).withColumn("__key", F.xxhash64("__id", "__text"))
-    order = F.struct(F.coalesce(F.col("__id").cast("long"), F.lit((1 << 63) - 1)).alias("o"), F.col("__key").alias("k"))
-    full = rows.where("__text is not null").select("__key", order.alias("order"), F.filter(hashed, lambda x: x.isNotNull()).alias("full"))
-    hashes = full.select("__key", "order", F.col("full.h").alias("hashes"), F.concat(_runs(F.col("full"), min_chars), _runs(F.reverse("full"), min_chars)).alias("runs"))
-    lines = hashes.select("order", F.explode(F.array_distinct(F.concat("hashes", "runs"))).alias("line"))
-    firsts = lines.groupBy("line").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1")
-    pairs = lines.join(firsts, "line").where("order.k <> first.k").select(F.col("order.k").alias("later"), F.col("first.k").alias("earlier")).distinct()
-    sequences = hashes.select(F.col("__key").alias("k"), "hashes").dropDuplicates(["k"])
-    with_later = pairs.join(sequences.withColumnsRenamed({"k": "later", "hashes": "b"}), "later")
-    both = with_later.join(sequences.withColumnsRenamed({"k": "earlier", "hashes": "a"}), "earlier").select("later", "a", "b")
-    found = both.mapInArrow(_aligned, "__key bigint, place int, length int").groupBy("__key").agg(F.collect_set(F.struct("place", "length")).alias("__blocks"))
-    joined = rows.join(found, "__key", "left")
-    names = [c for c in joined.columns if c not in ("__key", "__blocks")]
-    out = [{"__id": id_col, "__text": text_col}.get(c, c) for c in names]
-    fields = ", ".join(f"`{c}` {joined.schema[n].dataType.simpleString()}" for n, c in zip(names, out, strict=True))
-    place = names.index("__text")
+    split = F.split(F.col(own[place]), "\n", -1)
+    hashed = F.transform(split, lambda x: F.when(F.length(F.trim(x, F.lit(" \t\r\x0b\x0c"))) > 0, F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"), F.xxhash64(F.lit(1), x).alias("own"))))
+    full = rows.where(F.col(own[place]).isNotNull()).select("k", F.struct("o", "k").alias("order"), F.filter(hashed, lambda x: x.isNotNull()).alias("full"))
+    bare = F.arrays_zip(F.col("full.h").alias("h"), F.col("full.n").alias("n"))
+    runs = F.concat("full.h", _runs(bare, min_chars), _runs(F.reverse(bare), min_chars))
+    lines = full.select("order", F.explode(F.array_distinct(runs)).alias("line"))
+    firsts = lines.groupBy("line").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1").checkpoint()
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    met = graph.meet(lines, firsts, "line", "n", total).where("order.k <> first.k")
+    pairs = met.select(F.col("order.k").alias("later"), F.col("first.k").alias("earlier")).distinct().checkpoint()
+    sequences = full.select("k", F.col("full.own").alias("hashes")).dropDuplicates(["k"])
+    pairs = pairs.withColumn("cell", F.pmod(F.xxhash64("later"), F.lit(max(64, pairs.count() // 5000))))
+    earlier = pairs.select("earlier", "cell").distinct().join(sequences.withColumnsRenamed({"k": "earlier", "hashes": "a"}), "earlier")
+    both = pairs.join(sequences.withColumnsRenamed({"k": "later", "hashes": "b"}), "later").join(earlier, ["earlier", "cell"]).select("later", "a", "b")
+    found = both.mapInArrow(_aligned, f"k {_KEY}, place int, length int").groupBy("k").agg(F.collect_set(F.struct("place", "length")).alias("found"))
+    joined = rows.join(found, "k", "left").select(*own, "found")
+    schema = T.StructType([T.StructField(c, joined.schema[o].dataType) for c, o in zip(kept, own, strict=True)] + [T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                got = [without(t, x or [], min_chars) for t, x in zip(part.column(place).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
-                columns = [part.column(i) for i in range(len(names))]
+                got = [without(t, x or [], min_chars) for t, x in zip(part.column(place).to_pylist(), part.column(len(kept)).to_pylist(), strict=True)]
+                columns = [part.column(i) for i in range(len(kept))]
                 columns[place] = pa.array([g[0] for g in got], pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], names=[*out, "n_lines", "n_removed"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], names=[*kept, "n_lines", "n_removed"])
 
-    return joined.select(*names, "__blocks").mapInArrow(run, f"{fields}, n_lines bigint, n_removed bigint")
+    return joined.mapInArrow(run, schema)
 
 
 def without(text: str | None, found: list[dict], min_chars: int) -> tuple[str | None, int, int]:

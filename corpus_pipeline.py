@@ -7,7 +7,6 @@ sequences.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -34,16 +33,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, later ones without the blocks of lines that they share with earlier ones."""
+    session.checkpoints(spark)
     return _as_documents(lines.dedup_lines(docs.select(*COLUMNS)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least id; a text without words is in no group."""
     session.checkpoints(spark)
-    docs = docs.select(*COLUMNS)
-    groups = near.near_duplicates(docs, k=5, percent=80).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(groups, docs["doc_id"] == groups["__gone"], "left_anti")
-    return kept.select(*COLUMNS)
+    return near.deduplicated(docs.select(*COLUMNS), k=5, percent=80).select(*COLUMNS)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,14 +64,23 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written to the checkpoint folder and read again."""
+    """All stages in turn, each written to the checkpoint folder and read again; a stage's documents are removed when the next stage's are written."""
     session.checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = q.table(spark, sf_dir, "documents")
+    docs, last = q.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(os.path.join(folder, name))
-        docs = spark.read.parquet(os.path.join(folder, name))
+        here = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(here)
+        docs = spark.read.parquet(here)
+        if last:
+            _remove(spark, last)
+        last = here
     return docs
 
 

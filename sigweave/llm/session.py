@@ -6,12 +6,22 @@ from pyspark.sql import SparkSession
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Makes checkpoint() work: the folder that the cluster names, or in tests, where it names none, one of our own."""
+    """Makes checkpoint() work: in the folder that the cluster names in spark.checkpoint.dir.
+
+    Where it names none, a session on one machine gets a folder of its own, removed as it ends; on a cluster that is an error, as executors would not
+    see each other's files.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
+    if context.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import atexit
+        import shutil
+        import tempfile
 
-            named = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(named)
+        named = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, named, True)
+    context.setCheckpointDir(named)

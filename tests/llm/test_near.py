@@ -53,6 +53,7 @@ def test_brute(spark, bases, n, edits, monkeypatch):
     if n > 100:
         monkeypatch.setattr(near, "BLOCK", 40)
         monkeypatch.setattr(near, "HUBS", 10)
+        monkeypatch.setattr(graph, "FEW", 5)
     rows = variants(random.Random(bases), bases, n, edits) + [(9000, ""), (9001, None), (9002, "one"), (9003, "ONE"), (9004, "a b c d"), (9005, "\n")]
     frame = spark.createDataFrame([(i, t, "en", 1, "x", 2, 3) for i, t in rows], SCHEMA)
     got = {r.doc_id: tuple(r)[1:] for r in near.near_duplicates(frame, 4).collect()}
@@ -73,6 +74,34 @@ def test_odd_rows(spark):
     assert near.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_deduplicated(spark):
+    """One row of each group stays, whatever ids repeat; rows without words all stay."""
+    session.checkpoints(spark)
+    a, b = "a b c d e f g", "q r s t u v w"
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "y"), (9, "m n o p q r", "z"), (9, "m n o p q r", "z"), (None, b, "n"), (None, "only null ids here are a group", "o"), (1, "", "e"), (1, "", "e"), (2, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, k1 string")
+    got = near.deduplicated(frame)
+    assert got.columns == frame.columns
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [rows[0], rows[2], rows[3], rows[6], rows[7], rows[8], rows[9]]))
+
+
+def test_bucket_of_strangers(spark, monkeypatch):
+    """Texts that share a bucket with others but no link, and links that no centre has."""
+    session.checkpoints(spark)
+    monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(near, "HUBS", 4)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(30):  # each pair of copies differs from the next by a quarter of its words
+        ws = list(base)
+        for j in rng.sample(range(60), 9):
+            ws[j] = f"x{i}_{j}"
+        rows += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join([*ws, "end"]))]
+    got = {r.doc_id: tuple(r)[1:] for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert got == brute(rows, 1)
+
+
 def test_sketches_estimate():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 900).astype(np.uint64)

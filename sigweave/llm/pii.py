@@ -9,7 +9,7 @@ punctuation or date layout, so that equal values stay linked across documents an
 has the key can undo it. What does not validate stays as it is.
 
 Null text stays null, with no replacements. Empty and very long texts, repeated rows and
-an empty table need no care. All other columns are kept.
+an empty table need no care. All other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -193,13 +193,22 @@ def pseudonym(m: Column, key: str) -> Column:
     return out
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that no column has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_private") -> DataFrame:
-    """docs with the found values of a text column replaced, and the number of replacements."""
+    """docs with the found values of a text column replaced, and the number of replacements; a column of the latter's name gives way to it."""
     text = docs[text_col]
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    found = _free("found", [*docs.columns, count_col])
+    new = _free("new", [*docs.columns, count_col, found])
+    matches = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     between = F.split(text, PATTERN, -1)
-    rows = docs.withColumn("__found", found).withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(m, key))).otherwise(F.col("__found")))
-    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
-    parts = F.zip_with(between, "__new", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    told = F.when(F.size("__found") > 0, F.array_join(parts, "")).otherwise(text)
-    return rows.withColumns({count_col: F.coalesce(changed, F.lit(0)).cast("long"), text_col: told}).drop("__found", "__new")
+    rows = docs.withColumn(found, matches).withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))).otherwise(F.col(found)))
+    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
+    parts = F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    told = F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text)
+    return rows.withColumns({count_col: F.coalesce(changed, F.lit(0)).cast("long"), text_col: told}).drop(found, new)

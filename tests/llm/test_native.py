@@ -116,8 +116,8 @@ def test_pseudonyms(spark, sf):
     some += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     frame = spark.createDataFrame([(i, t, "en", "s", "f") for i, t in enumerate(some)], SCHEMA)
     found = re.compile(pii.PATTERN)
-    out = pii.pseudonymise(frame.withColumnRenamed("__found", "found"), KEY)
-    assert out.columns == ["doc_id", "text", "lang", "sketch", "found", "n_private"]
+    out = pii.pseudonymise(frame.withColumnsRenamed({"__found": "found", "sketch": "new"}), KEY)
+    assert out.columns == ["doc_id", "text", "lang", "new", "found", "n_private"]
     for r in out.collect():
         t = some[r.doc_id]
         assert r.text == (None if t is None else found.sub(lambda m: brute(m.group()), t))
@@ -181,3 +181,17 @@ def test_sketch_of_odd_texts(spark):
     r = both.select(f.merge(F.col("a"), F.col("b")).alias("m"), f.likeness(F.col("a"), F.col("b")).alias("x"), f.likeness(F.col("a"), F.col("c")).alias("y"), f.likeness(F.col("c"), F.col("c")).alias("z")).first()
     assert (r.m, r.x, r.y, r.z) == ([1, 2, 5, 7], 0.5, 0.0, 1.0)
     assert fingerprints.with_next(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_merge_is_the_sketch_of_both(spark):
+    """Whatever a set is split into, the parts' sketches merge to the whole's."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(200):
+        whole = [rng.randrange(1 << 63) for _ in range(rng.randint(0, 5))]
+        rows.append(([v for v in whole if rng.random() < 0.6], whole))
+    rows = [(a, [v for v in w if v not in a or rng.random() < 0.3], w) for a, w in rows]
+    both = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, w array<bigint>")
+    f = fingerprints
+    got = both.select(f.merge(f.retained(F.col("a")), f.retained(F.col("b"))).alias("m"), f.retained(F.col("w")).alias("w")).collect()
+    assert all(r.m == r.w for r in got) and any(r.w and r.w[0] < 0 for r in got)

@@ -4,8 +4,9 @@ The sketch of a text is every hash of its runs of K words that lies below a fixe
 fraction of the hashes' range. The fraction is the same for all documents, so that a sketch's size follows
 its document's, sketches of parts merge to the sketch of the whole by union, and the
 share of the smaller sketch that the larger holds estimates containment, also between very
-unequal documents. Where nothing lies below the fraction the least hash alone stands for the text,
-so that only a text without words has an empty sketch. A text of fewer than K words is one run.
+unequal documents. Where nothing lies below the fraction the least hash alone stands for the text, as a negative
+number; a merge drops it as soon as either side has a hash below the fraction, so that merging stays exact. So only a text
+without words has an empty sketch. A text of fewer than K words is one run.
 
 Null text is as empty. Two empty sketches have likeness 1, an empty and another 0. Very
 long texts and repeated rows need no care; an empty table gives an empty result.
@@ -28,6 +29,12 @@ def let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def retained(hashes: Column, fraction_bits: int = FRACTION_BITS) -> Column:
+    """The distinct hashes below the fraction, ascending; where there is none, -1 - the least hash."""
+    low = F.array_sort(F.array_distinct(F.filter(hashes, lambda v: v < (1 << (63 - fraction_bits)))))
+    return F.when((F.size(low) == 0) & (F.size(hashes) > 0), F.array(-1 - F.array_min(hashes))).otherwise(low)
+
+
 def sketch(text: Column, k: int = K, fraction_bits: int = FRACTION_BITS) -> Column:
     """Ascending hashes, of 63 bits each, that lie in the lowest 2 ** -fraction_bits of their range."""
 
@@ -36,12 +43,8 @@ def sketch(text: Column, k: int = K, fraction_bits: int = FRACTION_BITS) -> Colu
         each = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.shiftrightunsigned(F.xxhash64(*(F.get(h, i + j) for j in range(k))), 1))
         return F.when(n >= k, each).when(n > 0, F.array(F.shiftrightunsigned(F.xxhash64(F.array_join(h.cast("array<string>"), " ")), 1))).otherwise(F.array().cast("array<bigint>"))
 
-    def kept(all_: Column) -> Column:
-        low = F.array_sort(F.array_distinct(F.filter(all_, lambda v: v < (1 << (63 - fraction_bits)))))
-        return F.when((F.size(low) == 0) & (F.size(all_) > 0), F.array(F.array_min(all_))).otherwise(low)
-
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return let(let(F.transform(words, lambda w: F.xxhash64(w)), runs), kept)
+    return let(let(F.transform(words, lambda w: F.xxhash64(w)), runs), lambda h: retained(h, fraction_bits))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -52,8 +55,13 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def merge(a: Column, b: Column) -> Column:
-    """Sketch of the shingles of both."""
-    return F.array_sort(F.array_union(a, b))
+    """Sketch of the shingles of both: what retained() gives of the hashes of both."""
+
+    def of(u: Column) -> Column:
+        low = F.filter(u, lambda v: v >= 0)
+        return F.when((F.size(low) == 0) & (F.size(u) > 0), F.array(F.array_max(u))).otherwise(low)
+
+    return let(F.array_sort(F.array_union(a, b)), of)
 
 
 def as_string(s: Column) -> Column:

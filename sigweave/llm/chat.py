@@ -109,7 +109,8 @@ def turns_of(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
             out.append((role, str(v)))
     if mapping.turns:
         at, role, text = mapping.turns
-        out += [(ROLES.get(r := str(t.get(role) or "unknown"), r), str(t[text] if t.get(text) is not None else "")) for t in _get(record, at) or []]
+        named = ROLES if role == "from" else {}  # other layouts say what they mean
+        out += [(named.get(r := str(t.get(role) or "unknown"), r), str(t[text] if t.get(text) is not None else "")) for t in _get(record, at) or []]
     return out
 
 

@@ -23,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,14 @@ def code(c: str) -> int:
     return int(_CLASS[o]) if o < 256 else (_OTHER if c.isalpha() else 0)
 
 
+@lru_cache(1)
+def _all_classes() -> np.ndarray:
+    """code() of each code point."""
+    out = np.fromiter((_OTHER if chr(i).isalpha() else 0 for i in range(0x110000)), np.uint8, 0x110000)
+    out[:256] = _CLASS
+    return out
+
+
 def count_trigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(trigram, n) of the character classes of all texts, two blanks before each word."""
 
@@ -61,7 +70,7 @@ def count_trigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for at in range(0, b.num_rows, 200):
                 joined = "  ".join(["", *(t for t in b.column(0).slice(at, 200).to_pylist() if t), ""])
                 for i in range(0, len(joined), 1 << 20):
-                    x = _CLASS[np.frombuffer(joined[max(0, i - 2) : i + (1 << 20)].lower().encode("latin-1", "replace"), np.uint8)]
+                    x = _all_classes()[np.frombuffer(joined[max(0, i - 2) : i + (1 << 20)].lower().encode("utf-32-le", "replace"), np.uint32)].astype(np.int64)
                     if len(x) > 2:
                         before = np.where(x[1:-1] == 0, 0, x[:-2])  # what lies before a blank doesn't matter
                         total += np.bincount((before * CLASSES + x[1:-1]) * CLASSES + x[2:], minlength=CLASSES**3)
@@ -271,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
     x, y = np.zeros((len(seen), len(known)), np.float64), np.array([r.toxic for r in seen], float)
     for i, r in enumerate(seen):
         x[i, r["at"]] = _value(np.array(r["n"], float))
-    order = np.lexsort((*x.T[:8], y)) if len(known) else np.arange(len(y))  # sums don't depend on the order of rows
+    order = np.lexsort((*x.T, y)) if len(known) else np.arange(len(y))  # by all columns, so that sums don't depend on the order of rows
     w, b = _logistic(x[order], y[order])
     return Model(language, known, w, b)
 

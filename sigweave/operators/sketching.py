@@ -17,8 +17,8 @@ from sigweave.functions.expressions import _ordered, empty_sketch
 from sigweave.functions.hashing import _lists, matrix
 from sigweave.spec import Spec
 
-#: Values of a group from which it is built in parts.
-HOT = 2_000_000
+#: Rows that a task sketches at a time.
+ROWS = 1 << 18
 
 
 def _starts(columns: list[pa.Array], n: int) -> np.ndarray:
@@ -32,25 +32,88 @@ def _starts(columns: list[pa.Array], n: int) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _built(spec: Spec, n_keys: int, from_digest: bool):
-    """A pass over rows (keys, value) sorted by keys; the last group of a batch stays open for the next."""
+def _codes(columns: list[pa.Array], n: int) -> np.ndarray:
+    """A number for each row, equal for rows of equal keys, null being equal to null."""
+    out = np.zeros(n, np.int64)
+    for c in columns:
+        found = c.dictionary_encode(null_encoding="encode")
+        out = np.unique(out * (len(found.dictionary) + 1) + np.asarray(found.indices), return_inverse=True)[1]
+    return out
+
+
+def _least(d: np.ndarray, starts: np.ndarray, spec: Spec) -> np.ndarray:
+    """The registers of runs of digests that begin at `starts`."""
+    out = np.empty((len(starts), spec.permutations), np.uint64)
+    if len(starts):
+        for i, h in enumerate(k.stream(d, spec)):
+            out[:, i] = np.minimum.reduceat(h, starts)
+    return out
+
+
+def _partial(spec: Spec, n_keys: int, from_digest: bool, rows: int):
+    """A pass over unsorted rows (keys, value): for each group of so many rows its sketch, or its distinct digests while these are fewer than registers."""
+    names = [f"k{i}" for i in range(n_keys)]
+
+    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        keys, value = t.columns[:n_keys], t.column(n_keys)
+        if from_digest:
+            d, there = np.asarray(value.fill_null(0)).view(np.uint64), np.asarray(value.is_valid())
+        else:
+            d, there = k.digest(value, spec.hasher)
+        code = _codes(keys, t.num_rows)
+        of_code = np.unique(code, return_index=True)[1]
+        at = np.flatnonzero(there)
+        at = at[np.lexsort((d[at], code[at]))]
+        d, code = d[at], code[at]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (code[1:] != code[:-1])
+        d, code = d[new], code[new]
+        n = np.bincount(code, minlength=len(of_code))
+        large = n >= spec.permutations
+        inside = large[code]
+        sketches = np.zeros((len(n), spec.permutations), np.uint64)
+        sketches[large] = _least(d[inside], np.cumsum(n[large]) - n[large], spec)
+        few = np.where(large, 0, n)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(few)]).astype(np.int32)), pa.array(d[~inside].view(np.int64)))
+        return pa.RecordBatch.from_arrays([*(c.take(pa.array(of_code)) for c in keys), lists, _lists(sketches, large, spec)], names=[*names, "digests", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for whole in batches:
+            for first in range(0, whole.num_rows, rows):
+                held.append(whole.slice(first, rows))
+                size += held[-1].num_rows
+                if size >= rows:
+                    yield settle(held)
+                    held, size = [], 0
+        if held:
+            yield settle(held)
+
+    return run
+
+
+def _merged(spec: Spec, n_keys: int):
+    """A pass over the rows of _partial sorted by keys; the last group of a batch stays open for the next."""
+
+    def registers_of(b: pa.RecordBatch) -> np.ndarray:
+        lengths = np.asarray(b.column(n_keys).value_lengths().fill_null(0))
+        out, there = matrix(b.column(n_keys + 1), spec)
+        out[~there] = np.uint64(spec.kind.mask)
+        some = np.flatnonzero(lengths)
+        d = np.asarray(b.column(n_keys).flatten()).view(np.uint64)
+        out[some] = np.minimum(out[some], _least(d, np.cumsum(lengths[some]) - lengths[some], spec))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list[pa.Array], np.ndarray] | None = None
-        step = max(1, (1 << 24) // spec.permutations)
+        step = max(1, (1 << 22) // spec.permutations)
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 b = whole.slice(at, step)
                 keys = [b.column(i) for i in range(n_keys)]
-                value = b.column(n_keys)
-                if from_digest:
-                    d, there = np.asarray(value.fill_null(0)).view(np.uint64), np.asarray(value.is_valid())
-                else:
-                    d, there = k.digest(value, spec.hasher)
                 starts = _starts(keys, b.num_rows)
-                out = np.empty((len(starts), spec.permutations), np.uint64)
-                for i, h in enumerate(k.stream(d, spec)):
-                    out[:, i] = np.minimum.reduceat(np.where(there, h, np.uint64(spec.kind.mask)), starts)
+                out = np.minimum.reduceat(registers_of(b), starts, axis=0)
                 keys = [c.take(pa.array(starts)) for c in keys]
                 if held is not None:
                     joined = [pa.concat_arrays([h, c.slice(0, 1)]) for h, c in zip(held[0], keys, strict=True)]
@@ -71,30 +134,25 @@ def _built(spec: Spec, n_keys: int, from_digest: bool):
     return run
 
 
-def minhash_agg(df: DataFrame, keys: list[str], value: str | Column, spec: Spec, hot: int = HOT, from_digest: bool = False) -> DataFrame:
+def minhash_agg(df: DataFrame, keys: list[str], value: str | Column, spec: Spec, rows: int = ROWS, from_digest: bool = False) -> DataFrame:
     """(keys, words): the sketch of the values of each group.
 
     Null values don't count; a group of nulls alone has the empty sketch, and without keys so has an empty
-    table. The distinct values of a group are hashed in one pass after a shuffle and sort by the keys; a group
-    of more than `hot` values is spread over several tasks, whose sketches are then merged. from_digest: the
+    table. Each task makes partial sketches of `rows` rows at a time, so that what goes through the one shuffle is a sketch, or fewer values than
+    registers, for each group of each such lot, however many values the group has. Keys are of types that can be sorted. from_digest: the
     value is a BIGINT digest of one's own.
     """
     value = df[value] if isinstance(value, str) else value
     names = [f"k{i}" for i in range(len(keys))]
-    rows = df.select(*(df[c].alias(n) for c, n in zip(keys, names, strict=True)), value.alias("v")).distinct()
-    schema = T.StructType([rows.schema[n] for n in names] + [T.StructField("words", spec.array)])
+    given = df.select(*(df[c].alias(n) for c, n in zip(keys, names, strict=True)), value.alias("v"))
+    if not keys:
+        given, names = given.select(F.lit(0).alias("k0"), "v"), ["k0"]
+    fields = [given.schema[n] for n in names]
+    partial = given.mapInArrow(_partial(spec, len(names), from_digest, rows), T.StructType([*fields, T.StructField("digests", T.ArrayType(T.LongType())), T.StructField("words", spec.array)]))
+    schema = T.StructType([*fields, T.StructField("words", spec.array)])
     if not keys:
-        salted = rows.repartition("v").withColumn("k0", F.lit(0)).select("k0", "v")
-        parts = salted.mapInArrow(_built(spec, 1, from_digest), T.StructType([salted.schema["k0"], T.StructField("words", spec.array)]))
-        return union_agg(parts, [], "words", spec)
-    many = rows.groupBy(*names).agg(F.count("*").alias("n")).where(F.col("n") > hot)
-    many = many.select(*(F.col(n).alias(f"m{i}") for i, n in enumerate(names)), F.ceil(F.col("n") / hot).cast("int").alias("parts"))
-    on = [F.col(n).eqNullSafe(F.col(f"m{i}")) for i, n in enumerate(names)]
-    cold = rows.join(many, on, "left_anti").repartition(*names).sortWithinPartitions(*names).mapInArrow(_built(spec, len(names), from_digest), schema)
-    spread = rows.join(many, on).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts"))).select(*names, "part", "v")
-    split = T.StructType([*(rows.schema[n] for n in names), T.StructField("part", T.LongType()), T.StructField("words", spec.array)])
-    parts = spread.repartition(*names, "part").sortWithinPartitions(*names, "part").select(*names, F.col("part").cast("long"), "v").mapInArrow(_built(spec, len(names) + 1, from_digest), split)
-    return cold.union(union_agg(parts, names, "words", spec)).toDF(*keys, "words")
+        return union_agg(partial.mapInArrow(_merged(spec, 1), schema), [], "words", spec)
+    return partial.repartition(*names).sortWithinPartitions(*names).mapInArrow(_merged(spec, len(names)), schema).toDF(*keys, "words")
 
 
 def union_agg(df: DataFrame, keys: list[str], sketch: str, spec: Spec) -> DataFrame:

@@ -151,8 +151,8 @@ _sketch("sketch_keyed_sip", Spec(P, "u64", Hasher("sip13", KEYS)))
 
 @query("sketch_in_parts", f"SELECT k AS l_suppkey, i::BIGINT AS i, {o.raw('h')} AS h FROM ({parts_sql()})")
 def sketch_in_parts(spark, sf):
-    """Groups of many values, built in several tasks and merged."""
-    return long_form(minhash_agg(table(spark, sf, "lineitem"), ["l_suppkey"], "l_partkey", U64, hot=100), "l_suppkey")
+    """From many small lots of rows, merged."""
+    return long_form(minhash_agg(table(spark, sf, "lineitem"), ["l_suppkey"], "l_partkey", U64, rows=500), "l_suppkey")
 
 
 @query("sketch_of_all", f"SELECT i::BIGINT AS i, {o.raw('min(h)')} AS h FROM {o.registers(o.digests('lineitem', '', 'l_partkey'), P)} GROUP BY i")

@@ -67,7 +67,7 @@ def test_partitions_and_duplicates_change_nothing(spark, hasher):
     assert want[9] == [-1] * 32 and want[None] == sketched(spark, spec, [3])[0] and want[0] == sketched(spark, spec, range(50))[0]
     for n in (1, 7):
         assert {r.s: r.words for r in minhash_agg(rows.union(rows).repartition(n), ["s"], "v", spec).collect()} == want
-    assert {r.s: r.words for r in minhash_agg(rows, ["s"], "v", spec, hot=6).collect()} == want
+    assert {r.s: r.words for r in minhash_agg(rows, ["s"], "v", spec, rows=6).collect()} == want
     parts = minhash_agg(rows.withColumn("p", F.col("v") % 3), ["s", "p"], "v", spec)
     assert {r.s: r.words for r in union_agg(parts, ["s"], "words", spec).collect()} == want
     total = minhash_agg(rows, [], "v", spec).collect()

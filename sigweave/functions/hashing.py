@@ -113,8 +113,14 @@ def band_hash(words: Column, spec: Spec) -> Column:
 
     @F.arrow_udf(T.LongType())
     def band(column: pa.Array) -> pa.Array:
-        out = [None if x is None else int(k.band_hashes(k.loaded(np.array(x or [0], np.int64), spec.kind).reshape(1, -1)[:, : len(x)], 1, spec.kind).view(np.int64)[0, 0]) for x in column.to_pylist()]
-        return pa.array(out, pa.int64())
+        lengths, there = np.asarray(column.value_lengths().fill_null(0)), np.asarray(column.is_valid())
+        flat, at = np.asarray(column.flatten()), np.cumsum(lengths) - lengths
+        out = np.zeros(len(column), np.uint64)
+        for size in np.unique(lengths[there]):  # runs of one length make a matrix
+            rows = np.flatnonzero(there & (lengths == size))
+            words = k.loaded(flat[at[rows][:, None] + np.arange(size)], spec.kind) if size else np.zeros((len(rows), 0), np.uint64)
+            out[rows] = k.band_hashes(words, 1, spec.kind)[:, 0]
+        return pa.array(out.view(np.int64), mask=~there)
 
     return band(words)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigweave.functions import expressions as x
-from sigweave.functions.hashing import band_hashes, digest, hash_stream, sketch_array, stream_of_digest
+from sigweave.functions.hashing import band_hash, band_hashes, digest, hash_stream, sketch_array, stream_of_digest
 from sigweave.operators import similarity as sim
 from sigweave.operators.sketching import minhash_agg, registers, sketch_arrays, union_agg
 from sigweave.plans import accuracy
@@ -261,6 +261,75 @@ def sketch_arrays_(spark, sf):
     return each.select("l_suppkey", F.col("counter").cast("long").alias("counter"), F.posexplode("c.words").alias("i", "h")).withColumn("i", F.col("i").cast("long"))
 
 
+_ARRAYS = o.sketch("lineitem", "[l_suppkey, l_linenumber::BIGINT]", "l_partkey", 4)
+
+
+def arrays(spark: SparkSession, sf: str, spec: Spec) -> DataFrame:
+    """(l_suppkey, counters): seven sketches for each supplier, by line number."""
+    return sketch_arrays(table(spark, sf, "lineitem").withColumn("counter", F.col("l_linenumber") - 1), "l_suppkey", "counter", "l_partkey", spec, 7)
+
+
+@query("sketch_array_counter", f"SELECT k[1] AS l_suppkey, i::BIGINT AS i, {o.raw('h')} AS h, true AS replaced, true AS kept FROM ({_ARRAYS}) WHERE k[2] = 3")
+def sketch_array_counter(spark, sf):
+    """One counter is read, and one replaced by an empty sketch, which leaves the others alone."""
+    spec = Spec(4, "u64", FNV)
+    c = F.col("counters")
+    new = x.with_counter(c, 0, x.empty_sketch(spec))
+    held = arrays(spark, sf, spec).select("l_suppkey", x.counter(c, 2).alias("third"), x.is_empty(x.counter(new, 0), spec).alias("replaced"), (x.counter(new, 2) == x.counter(c, 2)).alias("kept")).where(~x.is_empty(F.col("third"), spec))
+    return held.select("l_suppkey", "replaced", "kept", F.posexplode("third").alias("i", "h")).withColumn("i", F.col("i").cast("long"))
+
+
+@query("sketch_array_empty", "SELECT r_regionkey::BIGINT AS r_regionkey, 3::BIGINT AS counters, true AS empty FROM region")
+def sketch_array_empty(spark, sf):
+    a = x.empty_array(U64, 3)
+    return table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), F.size(a).cast("long").alias("counters"), F.forall(a, lambda c: x.is_empty(c["words"], U64)).alias("empty"))
+
+
+@query("array_json_round_trip", "SELECT DISTINCT l_suppkey, true AS same, 7::BIGINT AS counters FROM lineitem")
+def array_json_round_trip(spark, sf):
+    spec = Spec(4, "u64", FNV)
+    out = arrays(spark, sf, spec).withColumn("read", serial.array_from_json(serial.array_to_json(F.col("counters"), spec), spec))
+    return out.select("l_suppkey", (F.col("read") == F.col("counters")).alias("same"), F.size("read").cast("long").alias("counters"))
+
+
+@query("register_map", f"SELECT k AS l_suppkey, i::BIGINT AS i, CASE WHEN i % 2 = 0 THEN i::BIGINT ELSE {o.raw('h')} END AS h FROM ({parts_sql()})")
+def register_map(spark, sf):
+    """Every other register is overwritten by its place."""
+    return long_form(suppliers(spark, sf, U64).withColumn("words", x.map_words(F.col("words"), lambda w, i: F.when(i % 2 == 0, i.cast("long")).otherwise(w))), "l_suppkey")
+
+
+@query("sketch_supplier_parts_usize", f"SELECT k AS l_suppkey, i::BIGINT AS i, {o.raw('h')} AS h FROM ({parts_sql()})")
+def sketch_supplier_parts_usize(spark, sf):
+    return long_form(suppliers(spark, sf, Spec(P, "usize", FNV)), "l_suppkey")
+
+
+@query("maximal_values", "SELECT r_regionkey::BIGINT AS r_regionkey, 255::BIGINT AS u8, 65535::BIGINT AS u16, 4294967295::BIGINT AS u32, -1::BIGINT AS u64, -1::BIGINT AS usize FROM region")
+def maximal_values(spark, sf):
+    return table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), *(x.maximal(w).cast("long").alias(w) for w in ("u8", "u16", "u32", "u64", "usize")))
+
+
+@query("fnv_digest_record", f"SELECT o_orderkey, {o.raw(o.fnv(f'list_concat({o.integer_bytes("o_orderkey")}, {o.integer_bytes("o_custkey")})'))} AS digest FROM orders")
+def fnv_digest_record(spark, sf):
+    """An element of two fields."""
+    return table(spark, sf, "orders").select("o_orderkey", digest(F.struct("o_orderkey", "o_custkey"), FNV).alias("digest"))
+
+
+_OWN = o.registers("SELECT DISTINCT l_partkey AS v, (l_partkey * 3 + 1)::UBIGINT AS z FROM lineitem", P)
+
+
+@query("sketch_custom_digest", f"SELECT l_suppkey, i::BIGINT AS i, {o.raw('min(h)')} AS h FROM (SELECT DISTINCT l_suppkey, l_partkey AS v FROM lineitem) JOIN {_OWN} USING (v) GROUP BY ALL")
+def sketch_custom_digest(spark, sf):
+    """Sketches of digests of the caller's own."""
+    rows = table(spark, sf, "lineitem")
+    return long_form(minhash_agg(rows, ["l_suppkey"], rows["l_partkey"] * 3 + 1, U64, from_digest=True), "l_suppkey")
+
+
+@query("sketch_classes", f"SELECT k AS l_suppkey, min(k) OVER (PARTITION BY w) AS representative FROM ({_LISTED.format(parts_sql(2, 'u8'))})")
+def sketch_classes(spark, sf):
+    """Equal sketches, of which two registers of a byte each give many."""
+    return sim.classes(suppliers(spark, sf, Spec(2, "u8", FNV)), "l_suppkey")
+
+
 # --- bands and joins
 
 BANDS = 8
@@ -272,6 +341,12 @@ def band_hashes_(spark, sf):
     return suppliers(spark, sf, U64).select("l_suppkey", F.posexplode(band_hashes(F.col("words"), U64, BANDS)).alias("band", "hash")).withColumn("band", F.col("band").cast("long"))
 
 
+@query("band_hash_first", f"SELECT k AS l_suppkey, {o.raw('hash')} AS hash FROM ({_BANDED}) WHERE b = 0")
+def band_hash_first(spark, sf):
+    """The hash of a run of registers, which are those of the first band."""
+    return suppliers(spark, sf, U64).select("l_suppkey", band_hash(x.words_slice(F.col("words"), 0, P // BANDS), U64).alias("hash"))
+
+
 _CLASSES = f"c AS (SELECT min(k) AS id, w FROM ({_LISTED.format(parts_sql())}) GROUP BY w)"
 _CANDIDATES = f"WITH b AS (SELECT * FROM ({_BANDED})), {_CLASSES}, r AS (SELECT id, b, hash, w FROM c JOIN b ON id = k) SELECT x.id AS left_id, y.id AS right_id, count(*)::BIGINT AS matches{{}} FROM r x JOIN r y ON x.b = y.b AND x.hash = y.hash AND x.id < y.id GROUP BY ALL{{}}"
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigweave.llm import chat, fingerprints, lines, near, packing, pieces, pii, quality, session, substrings, toxicity
+from sigweave.llm import chat, fingerprints, lines, near, oracle, packing, pieces, pii, quality, session, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,4 +115,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)

@@ -5,12 +5,22 @@ words over whole texts. `outliers` estimates, for each language and source, a lo
 scatter of the transformed statistics by the minimum covariance determinant, and rejects the
 rows whose Mahalanobis distance from it is over a chi-squared quantile.
 
-The estimate starts from medians and absolute deviations and takes concentration steps: the
-COVERAGE share of a stratum's rows nearest to the present estimate gives the next one. All
-rows of a stratum take part; what goes through a shuffle is one partial sum for each task and
-stratum, so that a source with a third of all rows costs no more than others. A language and
-source with fewer than LEAST rows is judged by its language's estimate, and a language with
-fewer by that of all rows.
+The determinant is that of the regularised scatter T + c S, as in the minimum regularised
+covariance determinant: S is the covariance of COVERAGE of a stratum's rows, c makes it
+consistent for normal rows, and T is diagonal with the squares of FLOORS. Most texts have no
+symbol and no repeat at all, so without T the least determinant is 0 and says nothing.
+
+STARTS estimates of each stratum (medians and absolute deviations, all rows, and small sets of
+rows chosen by a hash) take concentration steps: the COVERAGE share of the rows nearest to an
+estimate gives the next one, whose determinant is no greater. After two steps the BEST
+determinants of a stratum go on until a step gains less than TOLERANCE, and the least is
+taken. A step sums moments by bins of distance, and the bin that the share ends in counts in
+part, so that every step has exactly the same share. All rows take part; a shuffle carries
+one sum for each task, estimate and bin, so a source with a third of all rows costs no more
+than others.
+
+A language and source of fewer than LEAST rows is judged by the estimate of all rows of its
+language, and a language of fewer by that of all rows.
 
 Null text: no words, so the base rules fail it. Null language or source: strata of their own.
 Ties in the distance are kept or rejected alike. Repeated rows and ids are judged each on its
@@ -21,10 +31,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +47,13 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 #: The least scatter (a standard deviation) that each transformed statistic is given.
 FLOORS = {"log_words": 0.8, "log_length": 0.12, "symbols": 0.25, "dup_lines": 0.12, "repeats": 0.15}
 FEATURES = list(FLOORS)
-COVERAGE, STEPS, LEAST = 0.75, 3, 60
+COVERAGE, LEAST = 0.75, 60
+STARTS, DRAWN, BEST = 6, 24, 2
+TOLERANCE, STEPS = 1e-3, 40
+#: Bins of distance to an octave.
+BINS = 16
+#: The most strata whose estimates are broadcast, some 2 KB each; more are joined by a shuffle.
+BROADCAST = 10_000
 #: Chi-squared with five degrees of freedom at 1 - 1e-6.
 CUTOFF = 35.89
 
@@ -110,23 +127,33 @@ def _distance() -> F.Column:
     return sum((away[i] * away[j] * F.col("inverse")[i * k + j] * (1 if i == j else 2) for i in range(k) for j in range(i, k)), F.lit(0.0))
 
 
-def _solved(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, centre, inverse) from (keys, n, sums, products)."""
+_PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
+_MOMENTS = ["__w", *(f"__s{i}" for i in range(len(FEATURES))), *(f"__p{i}{j}" for i, j in _PAIRS)]
+
+
+def _moments() -> list[F.Column]:
+    """_MOMENTS of the rows of a group: their number, sums and sums of products."""
+    terms = [F.lit(1.0), *(F.col(f) for f in FEATURES), *(F.col(FEATURES[i]) * F.col(FEATURES[j]) for i, j in _PAIRS)]
+    return [F.sum(t).alias(m) for t, m in zip(terms, _MOMENTS, strict=True)]
+
+
+def _solved(moments: DataFrame) -> DataFrame:
+    """(stratum, start, before, centre, inverse, logdet) from (stratum, start, before, *_MOMENTS)."""
     k, floors = len(FEATURES), np.square(list(FLOORS.values()))
-    schema = T.StructType([moments.schema[c] for c in keys] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("centre", "inverse")])
+    rows, columns = np.array(_PAIRS).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = np.maximum(np.array(b.column("n").to_pylist(), float), 1)
-            s = np.array(b.column("sums").to_pylist(), float).reshape(-1, k) / n[:, None]
-            p = np.array(b.column("products").to_pylist(), float).reshape(-1, k, k) / n[:, None, None]
-            cov = p - s[:, :, None] * s[:, None, :]
-            # Concentrated rows understate the scatter; the factor makes it consistent for normal rows.
-            cov = cov * CONSISTENCY + np.eye(k) * floors
-            inverse = np.linalg.inv(cov)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), pa.array(s.tolist(), pa.list_(pa.float64())), pa.array(inverse.reshape(-1, k * k).tolist(), pa.list_(pa.float64()))], names=[*keys, "centre", "inverse"])
+            m = np.array([b.column(c).to_numpy() for c in _MOMENTS]).T
+            m = m[:, 1:] / m[:, :1]
+            centre, products = m[:, :k], np.zeros((len(m), k, k))
+            products[:, rows, columns] = products[:, columns, rows] = m[:, k:]
+            scatter = CONSISTENCY * (products - centre[:, :, None] * centre[:, None, :]) + np.diag(floors)
+            inverse = np.linalg.inv(scatter).reshape(-1, k * k)
+            found = [pa.array(x.tolist(), pa.list_(pa.float64())) for x in (centre, inverse)]
+            yield pa.RecordBatch.from_arrays([b.column("stratum"), b.column("start"), b.column("before"), *found, pa.array(np.linalg.slogdet(scatter)[1])], names=["stratum", "start", "before", "centre", "inverse", "logdet"])
 
-    return moments.select(*keys, "n", "sums", "products").mapInArrow(run, schema)
+    return moments.select("stratum", "start", "before", *_MOMENTS).mapInArrow(run, "stratum string, start int, before double, centre array<double>, inverse array<double>, logdet double")
 
 
 def _consistency(share: float, k: int) -> float:
@@ -149,35 +176,82 @@ def _consistency(share: float, k: int) -> float:
 CONSISTENCY = _consistency(COVERAGE, len(FEATURES))
 
 
-def _at(frame: DataFrame, params: DataFrame) -> DataFrame:
-    """Joined on the stratum, null matching null."""
-    p = params.withColumnsRenamed({"s_lang": "__l", "s_source": "__s"})
-    return frame.join(p, frame["s_lang"].eqNullSafe(p["__l"]) & frame["s_source"].eqNullSafe(p["__s"])).drop("__l", "__s")
+def _strata(stats: DataFrame) -> DataFrame:
+    """(lang, source, stratum, size, judges): the strata that rows of a language and source are part of, and the one that judges them."""
+    counts = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    of_lang, of_all = Window.partitionBy("lang"), Window.partitionBy(F.lit(0))  # over counts, one row for each language and source
+    levels = counts.withColumns({"m": F.sum("n").over(of_lang), "least": F.min("n").over(of_lang), "t": F.sum("n").over(of_all)})
+    levels = levels.withColumn("few", F.min("m").over(of_all) < LEAST)
+    lang, source = F.struct(F.col("lang").alias("v")), F.struct(F.col("source").alias("v"))
+    named = [
+        (F.to_json(F.struct(lang.alias("l"), source.alias("s"))), "n", F.col("n") >= LEAST, F.col("n") >= LEAST),
+        (F.to_json(F.struct(lang.alias("l"))), "m", (F.col("m") >= LEAST) & (F.col("least") < LEAST), (F.col("m") >= LEAST) & (F.col("n") < LEAST)),
+        (F.lit("{}"), "t", F.col("few"), F.col("m") < LEAST),
+    ]
+    # A small language's sources are small too, so exactly one level judges each row.
+    each = F.array(*(F.struct(name.alias("stratum"), F.col(size).alias("size"), member.alias("member"), judges.alias("judges")) for name, size, member, judges in named))
+    return levels.select("lang", "source", F.inline(each)).where("member").drop("member")
+
+
+def _joined(frame: DataFrame, small: DataFrame, on: F.Column | str, fits: bool) -> DataFrame:
+    return frame.join(F.broadcast(small) if fits else small, on)
+
+
+def _starts(x: DataFrame, fits: bool) -> DataFrame:
+    """_MOMENTS of each stratum's starts."""
+    k = range(len(FEATURES))
+    medians = x.groupBy("stratum").agg(F.array(*(F.percentile_approx(f, 0.5, 1000) for f in FEATURES)).alias("c"))
+    mad = _joined(x, medians, "stratum", fits).groupBy("stratum", "c").agg(F.array(*(F.percentile_approx(F.abs(F.col(f) - F.col("c")[i]), 0.5, 1000) for i, f in enumerate(FEATURES))).alias("d"))
+    products = [F.col("c")[i] * F.col("c")[j] + (F.pow(F.col("d")[i] * 1.4826, 2) if i == j else 0.0) for i, j in _PAIRS]
+    first = mad.select("stratum", F.lit(0).alias("start"), *(v.alias(m) for v, m in zip([F.lit(1.0), *(F.col("c")[i] for i in k), *products], _MOMENTS, strict=True)))
+    share = DRAWN / F.col("size") * 2.0**32
+    drawn = F.filter(F.sequence(F.lit(1), F.lit(STARTS - 1)), lambda r: (r == 1) | (F.xxhash64(*(c for c in x.columns), r).bitwiseAND(0xFFFFFFFF) < share))
+    rest = x.select("*", F.explode(drawn).alias("start")).groupBy("stratum", "start").agg(*_moments())
+    return first.unionByName(rest).withColumn("before", F.lit(None).cast("double"))
+
+
+def _concentrated(x: DataFrame, params: DataFrame, fits: bool) -> DataFrame:
+    """_MOMENTS of the COVERAGE share of each stratum nearest to each of its estimates; `before` is the estimate's determinant."""
+    binned = _joined(x, params.withColumn("before", F.col("logdet")), "stratum", fits).withColumn("bin", F.floor(F.log2(_distance() + 0.01) * BINS))
+    keys = ["stratum", "start", "before"]
+    sums = binned.groupBy(*keys, "size", "bin").agg(*_moments())
+    upto = F.sum("__w").over(Window.partitionBy("stratum", "start").orderBy("bin"))
+    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("size") * COVERAGE - upto + F.col("__w")) / F.col("__w")))
+    weighed = sums.withColumn("part", part).where("part > 0")
+    return weighed.groupBy(*keys).agg(*(F.sum(F.col(m) * F.col("part")).alias(m) for m in _MOMENTS))
+
+
+def estimates(x: DataFrame, fits: bool = True) -> DataFrame:
+    """(stratum, centre, inverse, logdet) of the rows (stratum, size, *FEATURES); `fits` says that the strata may be broadcast."""
+    running = _solved(_starts(x, fits)).checkpoint()
+    settled = []
+    for step in range(1, STEPS + 1):
+        running = _solved(_concentrated(x, running, fits)).checkpoint()
+        if step == 1:
+            continue  # a start's own determinant is of another share
+        if step == 2:
+            order = Window.partitionBy("stratum").orderBy("logdet", "start")
+            running = running.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= BEST).drop("__r")
+        still = F.col("before") - F.col("logdet") >= TOLERANCE
+        settled.append(running.where(~still))
+        running = running.where(still)
+        if running.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, [*settled, running])
+    best = found.groupBy("stratum").agg(F.min_by(F.struct("centre", "inverse", "logdet"), F.struct("logdet", "start")).alias("b"))
+    return best.select("stratum", "b.*")
 
 
 def outliers(stats: DataFrame) -> DataFrame:
     """Adds `distance` (squared) and `outlier` to transformed statistics with lang and source."""
-    keys = ["s_lang", "s_source"]
-    counts = stats.groupBy("lang", "source").agg(F.count("*").alias("__n"))
-    by_lang = counts.groupBy("lang").agg(F.sum("__n").alias("__m"))
-    strata = (
-        counts.alias("c").join(by_lang.alias("b"), F.expr("c.lang <=> b.lang"))
-        .select(F.col("c.lang").alias("__lang"), F.col("c.source").alias("__source"), F.when(F.col("__m") >= LEAST, F.struct(F.col("c.lang").alias("v"))).alias("s_lang"), F.when(F.col("__n") >= LEAST, F.struct(F.col("c.source").alias("v"))).alias("s_source"))
-    )
-    x = stats.join(strata, stats["lang"].eqNullSafe(strata["__lang"]) & stats["source"].eqNullSafe(strata["__source"])).drop("__lang", "__source")
-    spark, k = stats.sparkSession, len(FEATURES)
-    medians = x.groupBy(*keys).agg(F.array(*(F.percentile_approx(f, 0.5, 1000) for f in FEATURES)).alias("centre"))
-    spread = _at(x, medians).groupBy(*keys).agg(F.first("centre").alias("centre"), F.array(*(F.percentile_approx(F.abs(F.col(f) - F.col("centre")[i]), 0.5, 1000) for i, f in enumerate(FEATURES))).alias("mad"))
-    inverse = F.array(*(1 / (F.pow(F.col("mad")[i] * 1.4826, 2) + FLOORS[FEATURES[i]] ** 2) if i == j else F.lit(0.0) for i in range(k) for j in range(k)))
-    params = spread.select(*keys, "centre", inverse.alias("inverse")).checkpoint()
-    for _ in range(STEPS):
-        near = _at(x, params).withColumn("__d", _distance())
-        radius = near.groupBy(*keys).agg(F.percentile_approx("__d", COVERAGE, 1000).alias("__r"))
-        chosen = _at(near, radius).where("__d <= __r")
-        moments = chosen.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*(F.sum(f) for f in FEATURES)).alias("sums"), F.array(*(F.sum(F.col(f) * F.col(g)) for f in FEATURES for g in FEATURES)).alias("products"))
-        params = _solved(moments, keys).checkpoint()
-    judged = _at(x, params).withColumn("distance", _distance())
-    return judged.withColumn("outlier", F.col("distance") > CUTOFF).drop(*keys, "centre", "inverse")
+    strata = _strata(stats).checkpoint()
+    fits = strata.count() <= BROADCAST
+    named = strata.withColumnsRenamed({"lang": "__l", "source": "__s"})
+    mine = stats["lang"].eqNullSafe(named["__l"]) & stats["source"].eqNullSafe(named["__s"])
+    params = estimates(_joined(stats, named, mine, fits).select("stratum", "size", *FEATURES), fits).checkpoint()
+    judges = named.where("judges").join(params.drop("logdet"), "stratum")
+    judged = _joined(stats, judges, mine, fits).withColumn("distance", _distance())
+    return judged.withColumn("outlier", F.col("distance") > CUTOFF).drop("stratum", "size", "judges", "centre", "inverse", "__l", "__s")
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 Found and validated: payment cards (Luhn), phone numbers with a country code, IPv4 addresses (octets to 255),
 US social security numbers (areas, groups and serials in use), ISO and day-first dates of 1900 to 2099
-(calendar), e-mail addresses, and access keys (32 to 64 hex digits; AKIA keys). Each is replaced by
+(calendar), e-mail addresses, and access keys (32 to 64 hex digits of one case; AKIA keys). Each is replaced by
 another of its format: cards keep their first digit and a right check digit, dates stay dates, phone numbers keep their
 country code and punctuation, addresses their domain. A permutation acts on the value, whatever its
-punctuation or date layout, so that equal values stay linked across documents and different ones apart; who
+punctuation, date layout or case of hex digits, so that equal values stay linked across documents and different ones apart; who
 has the key can undo it. What does not validate stays as it is.
 
 Null text stays null, with no replacements. Empty and very long texts, repeated rows and
@@ -25,7 +25,7 @@ ROUNDS = 8
 DAYS = 73049  # of 1900 to 2099: 17 * 4297
 KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])",
+    "secret": r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])",
     "phone": r"\+[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -]?[0-9]{4}(?![0-9])",
     "card": r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![A-Za-z0-9])",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])(?!\.[0-9])",
@@ -177,7 +177,8 @@ def _email(m: Column, key: str) -> Column:
 
 def _secret(m: Column, key: str) -> Column:
     own = F.concat(F.lit("AKIA"), feistel_text(F.substring(m, F.lit(5), F.char_length(m)), (UPPER, DIGITS), key, "key"))
-    return F.when(m.startswith("AKIA"), own).otherwise(feistel_text(m, (HEX,), key, "hex"))
+    told = let(feistel_text(F.lower(m), (HEX,), key, "hex"), lambda v: F.when(m.rlike("[A-F]"), F.upper(v)).otherwise(v))
+    return F.when(m.startswith("AKIA"), own).otherwise(told)
 
 
 def pseudonym(m: Column, key: str) -> Column:

@@ -394,12 +394,7 @@ SELECT nation, round(avg(pow(approximation - ground_truth, 2)), 9) AS mse_mean,
 @query("accuracy_by_nation", _ERRORS)
 def accuracy_by_nation(spark, sf):
     """Squared errors of the estimates, summed up as in the accuracy study."""
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("nation"))
-    sets = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("p"))
-    rows = suppliers(spark, sf, U64).join(sets, "l_suppkey").join(s, "l_suppkey")
-    a, b = rows.toDF("left_id", "aw", "ap", "nation"), rows.toDF("right_id", "bw", "bp", "nation")
-    pairs = a.join(b, "nation").where("left_id < right_id").select("nation", x.jaccard(F.col("aw"), F.col("bw")).alias("approximation"), x.exact_jaccard(F.col("ap"), F.col("bp")).alias("ground_truth"))
-    out = accuracy.summary(accuracy.with_squared_error(pairs), ["nation"], ("mse",))
+    out = pairs.squared_errors(table(spark, sf, "lineitem"), nations(spark, sf), suppliers(spark, sf, U64), ["nation"], "l_suppkey", "l_partkey", U64)
     return out.select("nation", F.round("mse_mean", 9).alias("mse_mean"), F.round("mse_std", 9).alias("mse_std"), "mse_count")
 
 

@@ -56,7 +56,7 @@ def test_one_pair_has_no_deviation(spark):
     assert [tuple(r) for r in pairs.squared_errors(df, members, minhash_agg(df, ["id"], "v", spec), ["nation"], "id", "v", spec).collect()] == [(0, 0.0, None, 1)]
 
 
-@pytest.mark.parametrize("name", ["exact_jaccard_pairs"])
+@pytest.mark.parametrize("name", ["exact_jaccard_pairs", "accuracy_by_nation"])
 def test_no_pair_is_compared_row_by_row(spark, sf, name):
     """The pairs of sets are met in tiles; a join of sets on the nation alone took more than 100 s for 2 million pairs."""
     plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()

@@ -61,3 +61,22 @@ def test_no_pair_is_compared_row_by_row(spark, sf, name):
     """The pairs of sets are met in tiles; a join of sets on the nation alone took more than 100 s for 2 million pairs."""
     plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" not in plan and "array_union" not in plan
+
+
+def test_sketches_of_pairs(spark, small):
+    df, members, want = given(spark)
+    spec = Spec(16, "u64", FNV)
+    n = minhash_agg(df, ["id"], "v", spec).join(members, "id")
+    held = {r.id: r.words for r in n.collect()}
+    got = pairs.estimates(n, ["nation"], "id", "words", spec).collect()
+    assert len(got) == len(want) and {tuple(r)[:3]: r.jaccard for r in got} == {k: sum(x == y for x, y in zip(held[k[1]], held[k[2]], strict=True)) / 16 for k in want}
+    rows = pairs.unions(n, ["nation"], "id", "words", spec).collect()
+    least = {(*k, i): min(held[k[1]][i], held[k[2]][i], key=lambda v: v % 2**64) for k in want for i in range(16)}
+    assert len(rows) == len(least) and {tuple(r)[:4]: r.h for r in rows} == least
+
+
+@pytest.mark.parametrize("name", ["sketch_union_pairs", "sketch_jaccard_pairs", "band_matches"])
+def test_pairs_are_dealt_by_tiles(spark, sf, name):
+    """Not by the nation alone, nor by so few tasks as the sketches' bytes would fill."""
+    plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [nation" in plan and "REPARTITION_BY_NUM" in plan and "lo#" in plan

@@ -75,7 +75,7 @@ def test_sketches_of_pairs(spark, small):
     assert len(rows) == len(least) and {tuple(r)[:4]: r.h for r in rows} == least
 
 
-@pytest.mark.parametrize("name", ["sketch_union_pairs", "sketch_jaccard_pairs", "band_matches"])
+@pytest.mark.parametrize("name", ["sketch_union_pairs", "sketch_jaccard_pairs", "band_matches", "hll_jaccard"])
 def test_pairs_are_dealt_by_tiles(spark, sf, name):
     """Not by the nation alone, nor by so few tasks as the sketches' bytes would fill."""
     plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()

@@ -71,19 +71,35 @@ def stream_of_digest(digest_: Column, spec: Spec) -> Column:
     return stream(digest_)
 
 
+#: Elements that are digested at a time; values other than integers are Python objects meanwhile.
+ELEMENTS = 1 << 17
+
+
+def _runs(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """Where to cut arrays into runs of at most so many elements, or of one array."""
+    ends, cuts = np.cumsum(lengths), [0]
+    while cuts[-1] < len(lengths):
+        at = cuts[-1]
+        cuts.append(max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ELEMENTS, "right"))))
+    return list(zip(cuts, cuts[1:]))
+
+
 def sketch_array_udf(spec: Spec):
-    @F.arrow_udf(spec.array)
-    def sketch(values: pa.Array) -> pa.Array:
-        there = np.asarray(values.is_valid())
+    def filled(values: pa.Array, out: np.ndarray) -> None:
         lengths = np.asarray(values.value_lengths().fill_null(0))
         d, member = k.digest(values.flatten(), spec.hasher)
         own = np.repeat(np.arange(len(values)), lengths)[member]
-        out = np.full((len(values), spec.permutations), spec.kind.mask, np.uint64)
         starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else []
         for i, h in enumerate(k.stream(d[member], spec)):
             if len(own):
                 out[own[starts], i] = np.minimum.reduceat(h, starts)
-        return _lists(out, there, spec)
+
+    @F.arrow_udf(spec.array)
+    def sketch(values: pa.Array) -> pa.Array:
+        out = np.full((len(values), spec.permutations), spec.kind.mask, np.uint64)
+        for at, to in _runs(np.asarray(values.value_lengths().fill_null(0))):
+            filled(values.slice(at, to - at), out[at:to])
+        return _lists(out, np.asarray(values.is_valid()), spec)
 
     return sketch
 

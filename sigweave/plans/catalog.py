@@ -23,6 +23,8 @@ KEY, KEYS = 0x0123456789ABCDEF, (0x0123456789ABCDEF, 0xFEDCBA9876543210)
 U64 = Spec(P, "u64", FNV)
 WIDE = Spec(128, "u64", FNV)
 WIDE_BANDS = 32
+#: How many bytes of rows go to a Python worker at once.
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -419,6 +421,8 @@ def word_document_sketches(spark, sf):
     of different classes are linked if their estimate, always under 1, is at least 0.8. So the links of all documents follow.
     At 0.8 at most 25 of the 128 registers differ, and so not all of 32 bands: no pair is missed.
     """
+    if spark.conf.get(BYTES, "1b") == "1b":  # not set; 10,000 rows of long texts, the usual batch, have no bound
+        spark.conf.set(BYTES, str(8 << 20))
     words = table(spark, sf, "documents").where("text is not null").select("doc_id", sketch_array(F.array_distinct(F.split(F.lower("text"), r"\s+")), WIDE).alias("w"))
     union = lambda a, b: x.union(a, b, WIDE)
     rows = words.groupBy("doc_id").agg(F.collect_list("w").alias("w"))  # rows of one id are one document

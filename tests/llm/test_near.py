@@ -120,6 +120,31 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((90, 95, 100), 90), **dict.fromkeys(range(200, 260), 200)}
 
 
+def test_components_tasks(spark, monkeypatch):
+    """The tasks of all turns, each of which writes files, follow from the edges and not from the shuffle partitions; many tasks give the same components."""
+    session.checkpoints(spark)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(200, i) for i in range(201, 260)]
+    frame = spark.createDataFrame(edges, "a long, b long").coalesce(1)
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    tracker, found, tasks = spark.sparkContext.statusTracker(), [], []
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for each in (graph.EACH, 9):
+            monkeypatch.setattr(graph, "EACH", each)
+            spark.sparkContext.setJobGroup(f"components of {each}", "")
+            found.append(dict(map(tuple, graph.components(frame).collect())))
+            stages = {s for j in tracker.getJobIdsForGroup(f"components of {each}") for s in tracker.getJobInfo(j).stageIds}
+            tasks.append(sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s))))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(200, 260), 200)}
+    assert tasks[0] < 1000 and tasks[0] < tasks[1]
+
+
 def test_short_sets():
     h, at = words.hashes([b"a b", b"", b"a b c d e f", b"q"])
     g, to = words.shingles(h, at, 4)
